@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from stemma.llm import mixing, quality_rules
+from stemma.llm import language_id, mixing, packing, quality_classifier, quality_rules, tokens, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_language_id": language_id.op2_language_id,
+    "op5_url_filters": url_filters.op5_url_filters,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_mixing": mixing.op7_mixing,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_token_output": tokens.op10_token_output,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_url_filters": url_filters.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
