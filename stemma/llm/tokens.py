@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,8 +33,6 @@ END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 500
 PAGE_BYTES = 256 << 10
-#: Pre-tokens encoded by one call.
-BATCH = 1000
 
 
 def default_tokenizer() -> str:
@@ -57,13 +56,13 @@ def load(path: str):
     return made
 
 
-class Pieces:
+class Pieces(dict):
     """Ids by pre-token, each encoded once by the tokenizers library and then looked up.
 
     A byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in
     turn. The split below is the byte-level one for code points under 256, where the classes of
-    letters and numbers can be listed; a text with any other code point is encoded whole. At most
-    ``MOST`` pre-tokens are held; then the store starts anew.
+    letters and numbers can be listed; a text with any other code point is encoded whole. When
+    ``MOST`` pre-tokens are held, the store starts anew.
     """
 
     MOST = 400_000
@@ -73,10 +72,14 @@ class Pieces:
     )
 
     def __init__(self, path: str):
+        super().__init__()
         self.tok = load(path)
-        self.ids: dict[str, bytes] = {}
         self.splits = '"ByteLevel"' in self.tok.pre_tokenizer.__getstate__().decode() and self.tok.normalizer is None
 
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         try:
             plain = self.splits and text.encode("latin-1") is not None
@@ -84,19 +87,9 @@ class Pieces:
             plain = False
         if not plain:
             return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        found = self.SPLIT.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(self.ids.__getitem__, found)), np.uint32)
-        except KeyError:
-            pass
-        if len(self.ids) > self.MOST:
-            self.ids = {}
-        new = [x for x in dict.fromkeys(found) if x not in self.ids]
-        for i in range(0, len(new), BATCH):
-            part = new[i : i + BATCH]
-            for x, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[x] = np.asarray(e.ids, dtype=np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, found)), np.uint32)
+        if len(self) > self.MOST:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, self.SPLIT.findall(text))), np.uint32)
 
 
 @cache
