@@ -139,7 +139,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
 
 def sequences(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``parts`` with sequence_id and offset; ``parts`` should be materialised, as it is read twice."""
-    n = max(1, math.ceil(parts.count() / PIECES_PER_TASK))
+    per_task = PIECES_PER_TASK // 5 if "ids" in parts.columns else PIECES_PER_TASK  # a task holds its rows in memory
+    n = max(1, math.ceil(parts.count() / per_task))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
     at = parts.columns.index("length")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stemma.llm import embedding_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, tokens, url_filters
+from stemma.llm import embedding_dedup, html_extraction, language_id, mixing, packing, quality_classifier, quality_rules, simhash, tokens, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html_extraction": html_extraction.op8_html_extraction,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_output": tokens.op10_token_output,
 }
