@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from stemma.plans import lexical
+
 FLAGSHIP = "bm25_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_PARTS = (lexical,)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
