@@ -10,7 +10,10 @@ the same recursion inside the two sequences, and compares runs of ``LEAF`` vecto
 product in double precision of the vectors as given.
 
 Equal vectors are one class with a count, so copies cost nothing and never meet in a task. A task
-hands on each vector's number of links and a spanning forest of links, never pairs.
+hands on each vector's number of links and a spanning forest of links, never pairs. Where vectors
+spread evenly over more axes than the grid sees, no box excludes another and each interval meets
+each: the work is that of a matrix product of all with all, and a vector is sent as often as there
+are intervals, which is why few are made of few vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, link with
 nothing: 0 links, a component of their own, kept. Vectors of different lengths don't link. Rows with a
@@ -34,7 +37,8 @@ COSINE = 0.9
 #: Largest distance at unit length, and room for rounding.
 EPS = float(np.sqrt(2 - 2 * COSINE)) + 1e-6
 GRID, BOX = 4, 16
-BLOCK, LEAF = 1024, 256
+#: Vectors in an interval (of few vectors, a ``LEAST``-th of them) and in a matrix product.
+BLOCK, LEAST, LEAF = 8192, 16, 512
 #: Intervals at most: their boxes and the pairs of them that are left are the driver's. Beyond
 #: ``MOST * BLOCK`` vectors the intervals grow instead.
 MOST = 2048
@@ -132,25 +136,22 @@ def compare(x: np.ndarray, px: np.ndarray, mx: np.ndarray, y: np.ndarray, py: np
         near = cos >= COSINE
         if same and (i, j) == (k, l):
             np.fill_diagonal(near, False)
-            cx[i:j] += near @ my[k:l]
-        else:
-            cx[i:j] += near @ my[k:l]
-            (cx if same else cy)[k:l] += mx[i:j] @ near
         a, b = np.nonzero(near)
         if len(a):
+            cx[i:j] += np.bincount(a, my[k:l][b], j - i).astype(np.int64)
+            if not (same and (i, j) == (k, l)):
+                (cx if same else cy)[k:l] += np.bincount(b, mx[i:j][a], l - k).astype(np.int64)
             a, b = label[a + i], label[b + (k if same else k + n)]
             if (a != b).any():
                 label = graph.local_labels(n + m, a, b)[label]
     return cx, cy, label
 
 
-def _task(t: pa.Table) -> pa.Table:
+def _task(t: pa.Table, axes: np.ndarray) -> pa.Table:
     """Links of one pair of intervals."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
-    width = len(t["vec"][0].as_py())
-    axes_width = len(t["turned"][0].as_py())
-    vec = matrix(t["vec"].combine_chunks(), width)
-    p = matrix(t["turned"].combine_chunks(), axes_width)
+    vec = matrix(t["vec"].combine_chunks(), len(axes))
+    p = turned(vec, axes)
     node, h, count, side = (t[c].to_numpy() for c in ("node", "h", "copies", "side"))
     order = [np.flatnonzero(side == s) for s in (0, 1)]
     order = [o[sort(np.concatenate([order_keys(p[o]), node[o][:, None].astype(float)], axis=1))] for o in order]
@@ -176,12 +177,13 @@ def links(own: DataFrame, width: int) -> DataFrame:
     sample = np.stack(got.to_numpy()).astype(np.float64) if len(got) else np.zeros((0, width))
     unit = turned(sample, np.eye(width)) if len(sample) else sample
     axes = np.linalg.eigh(unit.T @ unit)[1][:, ::-1].copy() if len(unit) else np.eye(width)
-    blocks = int(min(MOST, max(1, -(-total // BLOCK))))
+    blocks = int(min(MOST, max(-(-total // BLOCK), min(LEAST, -(-total // LEAF)))))
     keys = order_keys(unit @ axes)
     keys = keys[sort(keys)]
     bounds = keys[(np.arange(1, blocks) * len(keys)) // blocks] if len(keys) else keys
     at = spark.sparkContext.broadcast((axes, bounds))  # MOST rows at most
     box = min(BOX, width)
+    kind = own.schema["vec"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes, bounds = at.value
@@ -190,11 +192,11 @@ def links(own: DataFrame, width: int) -> DataFrame:
                 continue
             p = turned(matrix(b.column(3), width), axes)
             block = interval(order_keys(p), bounds) if len(bounds) else np.zeros(len(p), np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), width).cast(pa.list_(pa.float64()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(p[:, :box].ravel()), box).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), lists], names=["node", "h", "copies", "vec", "block", "turned"])
 
     placed = own.select("node", "h", "copies", "vec").mapInArrow(
-        place, "node long, h long, copies long, vec array<double>, block long, turned array<double>"
+        place, f"node long, h long, copies long, vec {kind}, block long, turned array<double>"
     )
     placed = materialize(placed, "intervals")
     axis = lambda k: F.element_at("turned", k + 1)
@@ -219,16 +221,16 @@ def links(own: DataFrame, width: int) -> DataFrame:
                 mine = b.filter(pa.array(block == k))
                 for pair, side in to.value.get(k, ()):
                     n = mine.num_rows
-                    cols = [pa.array(np.full(n, pair)), pa.array(np.full(n, side)), *(mine.column(c) for c in (0, 1, 2, 3, 5))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["pair", "side", "node", "h", "copies", "vec", "turned"])
+                    cols = [pa.array(np.full(n, pair)), pa.array(np.full(n, side)), *mine.columns[:4]]
+                    yield pa.RecordBatch.from_arrays(cols, names=["pair", "side", "node", "h", "copies", "vec"])
 
-    sent = placed.mapInArrow(send, "pair long, side long, node long, h long, copies long, vec array<double>, turned array<double>")
-    return sent.groupBy("pair").applyInArrow(_task, "a long, b long, h long, n long")
+    sent = placed.mapInArrow(send, f"pair long, side long, node long, h long, copies long, vec {kind}")
+    return sent.groupBy("pair").applyInArrow(lambda t: _task(t, at.value[0]), "a long, b long, h long, n long")
 
 
 def apply(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"))
     usable = rows.where(F.col("vec_id").isNotNull() & valid(F.col("vec")))
     own = usable.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("h", F.xxhash64("vec"))
     own = materialize(own, "classes")
