@@ -7,25 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_DEPTH, MAX_NODES = 2, 100
-#: Edge types, strongest first, with the words that name them.
-EDGE_TYPES = {
-    "foundation": "foundation|foundational|builds_on|theory|theoretical_basis",
-    "extension": "extension|extends|refines|improves|applies",
-    "comparison": "comparison|compares_with|contrast|contrasts|challenges|baseline",
-}
+#: The edge types, in the order in which they are tested.
+EDGE_TYPES = ("foundation", "extension", "comparison", "context")
 
 
 def edge_type(relationship: Column, anchor_role: Column) -> Column:
-    words = F.lower(F.concat_ws(" ", relationship, anchor_role))
-    out = None
-    for name, pattern in EDGE_TYPES.items():
-        out = F.when(words.rlike(pattern), name) if out is None else out.when(words.rlike(pattern), name)
-    return out.otherwise("context")
+    relation, role = (F.lower(F.coalesce(c, F.lit(""))) for c in (relationship, anchor_role))
+    return (
+        F.when(relation.rlike("builds_on|foundation") | role.contains("foundation"), "foundation")
+        .when(relation.contains("extends"), "extension")
+        .when(relation.rlike("compare|contrast"), "comparison")
+        .otherwise("context")
+    )
 
 
 def edge_types(types: list[str]) -> list[str]:
-    known = [*EDGE_TYPES, "context"]
-    bad = [t for t in types if t.strip().lower() not in known]
+    bad = [t for t in types if t.strip().lower() not in EDGE_TYPES]
     if bad:
         raise ValueError(f"unknown edge types: {bad}")
     return [t.strip().lower() for t in types]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stemma.plans import embeddings, lexical, relations
+from stemma.plans import embeddings, lexical, relations, sources
 
 FLAGSHIP = "bm25_search"
-_PARTS = (lexical, embeddings, relations)
+_PARTS = (lexical, embeddings, relations, sources)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
