@@ -7,10 +7,10 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from stemma.functions import checks, text, vocab
+from stemma.functions.schemas import schema
 
 _LISTS = "research_questions paper_structure methods key_findings limitations contribution_type keywords"
 _TEXTS = (
@@ -19,7 +19,7 @@ _TEXTS = (
 )
 _VARIABLES = "dependent_variables independent_variables control_variables mechanism_variables"
 VERSIONS = ("v1", "v2", "v3", "v4", "v5")
-SCHEMA = StructType.fromDDL(
+SCHEMA = schema(
     "ref_id string, schema_version string, digest_revision int, derived_from_revision int, "
     + ", ".join(f"{n} string" for n in _TEXTS.split())
     + ", "

@@ -14,12 +14,13 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from stemma.functions import checks, text, vocab
+from stemma.functions.schemas import schema
 from stemma.operators import upsert
 from stemma.sources import tables
 
 
 def _schema(strings: str, **others: str) -> StructType:
-    return StructType.fromDDL(", ".join(f"{n} {others.get(n, 'string')}" for n in strings.split()))
+    return schema(", ".join(f"{n} {others.get(n, 'string')}" for n in strings.split()))
 
 
 @dataclass

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from stemma.functions import checks, ids
+from stemma.functions.schemas import schema
 from stemma.operators import upsert
 
 _TEXT = (
@@ -15,7 +15,7 @@ _TEXT = (
     "arxiv_journal_ref linked_doi_ref_id linked_arxiv_ref_id collection_id collection_title"
 ).split()
 _KINDS = {"arxiv_version": "int"}
-SCHEMA = StructType.fromDDL(
+SCHEMA = schema(
     ", ".join(f"{n} {_KINDS.get(n, 'string')}" for n in _TEXT)
     + ", year int, month int, day int, pub_date timestamp, authors_list array<string>, raw_entry string"
 )
