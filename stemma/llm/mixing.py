@@ -145,19 +145,17 @@ def apply(docs: DataFrame) -> DataFrame:
     Documents without words are no part of a mix. Rows are matched by id and their place among the
     rows of that id, so repeated ids keep their own verdicts.
     """
-    place = lambda size: F.row_number().over(Window.partitionBy("__mx_id").orderBy(size, "__mx_source"))
-    verdict = mix(materialize(sizes(docs), "sizes")).select(
-        F.col("doc_id").alias("__mx_id"), F.col("source").alias("__mx_source"), F.col("size").alias("__mx_size"), "taken"
+    # the key is never null, and the window, the join and the verdicts share its partitioning: the texts move once
+    row = lambda df: df.withColumns({"__mx_id": F.coalesce("doc_id", F.lit(0)), "__mx_null": F.col("doc_id").isNull()})
+    place = F.row_number().over(Window.partitionBy("__mx_id", "__mx_null").orderBy("__mx_size", "source"))
+    verdict = row(mix(materialize(sizes(docs), "sizes")).withColumn("__mx_size", F.col("size"))).withColumn("n", place).where("taken > 0")
+    verdict = verdict.select(
+        F.col("__mx_id").alias("__mx_v"), F.col("__mx_null").alias("__mx_w"), F.col("n").alias("__mx_m"), F.expr("cast(taken / size as int)").alias("__mx_times")
     )
-    verdict = verdict.withColumn("__mx_n", place("__mx_size")).where("taken > 0")
-    times = F.expr("cast(taken / __mx_size as int)")
-    verdict = verdict.select(F.col("__mx_id").alias("__mx_v"), F.col("__mx_n").alias("__mx_m"), times.alias("__mx_times"))
-    marked = docs.select(
-        "*", F.col("doc_id").alias("__mx_id"), F.col("source").alias("__mx_source"), F.size(words(F.col("text"))).alias("__mx_size")
-    ).withColumn("__mx_n", place("__mx_size"))
-    out = marked.join(verdict, F.col("__mx_id").eqNullSafe(F.col("__mx_v")) & (F.col("__mx_n") == F.col("__mx_m")))
+    marked = row(docs.withColumn("__mx_size", F.size(words(F.col("text"))).cast("long"))).withColumn("__mx_n", place)
+    out = marked.join(verdict, (F.col("__mx_id") == F.col("__mx_v")) & (F.col("__mx_null") == F.col("__mx_w")) & (F.col("__mx_n") - F.col("__mx_m") == 0))
     out = out.withColumn("__mx_round", F.explode(F.sequence(F.lit(1), F.col("__mx_times"))))
-    return out.select(*[out[c] for c in docs.columns])
+    return out.select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
