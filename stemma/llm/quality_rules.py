@@ -190,11 +190,15 @@ def judge(rows: DataFrame, limits: DataFrame, lang: str, source: str, stats: str
         limits = limits.withColumn(f"{_S}_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn(f"{_S}_r", F.pmod(F.xxhash64(F.col(stats)), F.lit(SALTS)).cast("int"))
         joined = rows.join(limits, on & (F.col(f"{_S}_r") == F.col(f"{_S}_k")), "left")
-    fails = base_failed(F.col(stats))
-    for value, m in zip(_measures(F.col(stats)), MEASURES, strict=True):
-        fails = fails | F.coalesce(value > F.col(f"{_S}_max_{m[0]}"), F.lit(False))
+
+    def fails(s: Column) -> Column:
+        out = base_failed(s)
+        for value, m in zip(_measures(s), MEASURES, strict=True):
+            out = out | F.coalesce(value > F.col(f"{_S}_max_{m[0]}"), F.lit(False))
+        return out
+
     extra = [c for c in joined.columns if c.startswith(f"{_S}_") and c not in rows.columns] + [f"{_S}_r"]
-    return joined.withColumn(f"{_S}_kept", ~fails).drop(*extra)
+    return joined.withColumn(f"{_S}_kept", let(F.col(stats), lambda s: ~fails(s))).drop(*extra)
 
 
 def apply(docs: DataFrame) -> DataFrame:
