@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stemma.functions import checks, vectors
+from stemma.functions.shipping import map_in_arrow
 
 TOP_N, TOLERANCE, BATCH = 20, 1e-3, 64
 
@@ -82,7 +83,7 @@ def pair_scores(index: DataFrame, queries: DataFrame, id_col: str = "ref_id", ve
                 )
 
     rows = index.where(F.col(vec).isNotNull()).select(F.col(id_col), F.col(vec))
-    return rows.mapInArrow(run, f"id {id_type}, category_id string, query_id string, score double").withColumnRenamed("id", id_col)
+    return rows.transform(map_in_arrow, run, f"id {id_type}, category_id string, query_id string, score double").withColumnRenamed("id", id_col)
 
 
 def category_scores(index: DataFrame, queries: DataFrame, top_k: int = 2, id_col: str = "ref_id", vec: str = "vec") -> DataFrame:
@@ -158,7 +159,7 @@ def embed(rows: DataFrame, embed_fun: Callable[[list[str]], np.ndarray], id_col:
                 yield pa.RecordBatch.from_arrays([b.column(0), vecs], names=["id", "vec"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, "text").mapInArrow(run, f"id {kind}, vec array<float>").withColumnRenamed("id", id_col)
+    return rows.select(id_col, "text").transform(map_in_arrow, run, f"id {kind}, vec array<float>").withColumnRenamed("id", id_col)
 
 
 def compact(main: DataFrame, delta: DataFrame, id_col: str = "ref_id", seq: str = "seq") -> DataFrame:

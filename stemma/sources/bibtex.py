@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions import ids
+from stemma.functions.shipping import map_in_arrow
 from stemma.sources import tables
 
 
@@ -43,7 +44,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=["file", "seq", "entry_type", "key", "entry"])
 
-    return files.mapInArrow(run, "file string, seq int, entry_type string, key string, entry string")
+    return files.transform(map_in_arrow, run, "file string, seq int, entry_type string, key string, entry string")
 
 
 def field(entry: Column, name: str) -> Column:
