@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm import graph
 from stemma.llm.common import materialize, table
 
@@ -195,8 +196,8 @@ def links(own: DataFrame, width: int) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(p[:, :box].ravel()), box).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), lists], names=["node", "h", "copies", "vec", "block", "turned"])
 
-    placed = own.select("node", "h", "copies", "vec").mapInArrow(
-        place, f"node long, h long, copies long, vec {kind}, block long, turned array<double>"
+    placed = own.select("node", "h", "copies", "vec").transform(
+        map_in_arrow, place, f"node long, h long, copies long, vec {kind}, block long, turned array<double>"
     )
     placed = materialize(placed, "intervals")
     axis = lambda k: F.element_at("turned", k + 1)
@@ -224,7 +225,7 @@ def links(own: DataFrame, width: int) -> DataFrame:
                     cols = [pa.array(np.full(n, pair)), pa.array(np.full(n, side)), *mine.columns[:4]]
                     yield pa.RecordBatch.from_arrays(cols, names=["pair", "side", "node", "h", "copies", "vec"])
 
-    sent = placed.mapInArrow(send, f"pair long, side long, node long, h long, copies long, vec {kind}")
+    sent = placed.transform(map_in_arrow, send, f"pair long, side long, node long, h long, copies long, vec {kind}")
     return sent.groupBy("pair").applyInArrow(lambda t: _task(t, at.value[0]), "a long, b long, h long, n long")
 
 

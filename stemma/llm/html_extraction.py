@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm.common import table
 from stemma.llm.url_filters import host_and_path
 
@@ -214,7 +215,7 @@ def apply(pages: DataFrame) -> DataFrame:
         if held:
             yield _batch(held)
 
-    return ordered.select("page_id", "url", "html", "host").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return ordered.select("page_id", "url", "html", "host").transform(map_in_arrow, run, "page_id long, url string, text string, n_chars long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

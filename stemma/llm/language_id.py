@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm import codepoints
 from stemma.llm.common import held_out, table
 
@@ -141,7 +142,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                         names=["lang", "gram", "n"],
                     )
 
-    rows = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = chosen.select("lang", "text").transform(map_in_arrow, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = rows.toPandas()  # as many n-grams as the sample has: bounded by ``sample`` documents a language
     total = got.groupby("lang")["n"].transform("sum")
     got["rate"] = got["n"] / total
@@ -162,7 +163,7 @@ def predictions(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             cols = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(known)]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "lang_pred", "score", "known"])
 
-    out = kept.mapInArrow(run, f"{fields}, lang_pred string, score double, known double")
+    out = kept.transform(map_in_arrow, run, f"{fields}, lang_pred string, score double, known double")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "known")
 
 
@@ -178,7 +179,7 @@ def apply(docs: DataFrame) -> DataFrame:
             yield b.filter(pa.array([n != "und" and k >= KNOWN for n, k in zip(names, known, strict=True)], pa.bool_()))
 
     docs_columns = list(docs.columns)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_in_arrow, run, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm import tokens
 from stemma.llm.common import materialize, table
 
@@ -134,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                     cols, names = [*cols, tokens.id_lists(parts)], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES + (", ids array<int>" if ids else ""))
+    return docs.select("doc_id", "text").transform(map_in_arrow, run, _PIECES + (", ids array<int>" if ids else ""))
 
 
 def sequences(parts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -161,7 +162,7 @@ def sequences(parts: DataFrame, length: int = LENGTH) -> DataFrame:
         yield from t.to_batches(max_chunksize=10_000)
 
     dealt = parts.repartition(n, "doc_id", "piece", "ids_crc32").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return dealt.transform(map_in_arrow, run, f"{schema}, sequence_id long, offset long")
 
 
 def apply(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, length: int = LENGTH, ids: bool = False) -> DataFrame:

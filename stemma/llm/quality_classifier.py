@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm import codepoints
 from stemma.llm.common import held_out, table
 
@@ -209,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 
     # the sample is bounded by its parameter (16 bytes a row), so it may be broadcast
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(F.col("y").cast("int").alias("y"), "text")
-    got = rows.mapInArrow(run, "y int, x array<double>").toPandas()
+    got = rows.transform(map_in_arrow, run, "y int, x array<double>").toPandas()
     if not len(got):
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.stack(got["x"].to_numpy())
@@ -227,7 +228,7 @@ def apply(docs: DataFrame, forest: Forest) -> DataFrame:
             p = held.value.score(statistics(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").transform(map_in_arrow, run, "doc_id long, score double, predicted int")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

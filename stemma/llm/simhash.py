@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm import graph
 from stemma.llm.common import materialize, table
 
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").transform(map_in_arrow, run, "doc_id long, fp long")
 
 
 def _buckets(fp: Column) -> Column:
@@ -161,7 +162,7 @@ def classes(fps: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "node")
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    links = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare, "a long, b long")
+    links = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(map_in_arrow, _compare, "a long, b long")
     found = graph.components(links)
     joined = own.join(found.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     return joined.select("fp", F.coalesce("component", "node").alias("component"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm.common import materialize, table
 
 END_ID = 0
@@ -140,7 +141,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                     names=["doc_id", "n_tokens", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
+    return docs.select("doc_id", "text").transform(map_in_arrow, run, "doc_id long, n_tokens long, tokens array<int>")
 
 
 def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, name: str = "tokens") -> DataFrame:
@@ -198,7 +199,7 @@ def digests(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crcs, pa.int64())], names=["file", "row", "crc"])
 
     seen = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "tokens")
-    return seen.mapInArrow(run, "file string, row long, crc long")
+    return seen.transform(map_in_arrow, run, "file string, row long, crc long")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

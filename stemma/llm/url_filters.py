@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.functions.shipping import map_in_arrow
 from stemma.llm.common import table
 
 #: Fixed values of the contract: verdict, host, path.
@@ -108,7 +109,7 @@ def apply(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
             cols = [*b.columns[:-1], raw, *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], *added])
 
-    counted = seen.mapInArrow(count, f"{kept}, __url string, n_strict int, n_soft int")
+    counted = seen.transform(map_in_arrow, count, f"{kept}, __url string, n_strict int, n_soft int")
     host, path = host_and_path(F.col("__url"))
     judged = counted.withColumns({"host": host, "path": path}).withColumn("__r", best_rule(F.col("host"), F.col("path")))
     bad = (F.col("n_strict") > 0) | (F.col("n_soft") >= SOFT_HITS)
