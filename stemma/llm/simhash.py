@@ -7,8 +7,11 @@ tables' buckets of its own segment values and of all values in the small Hamming
 them; of a ball of radius 1 the values with one bit more are enough, as the partner has the other
 half. All members of a bucket are compared over the whole 64 bits.
 
-A bucket of more than ``BLOCK`` members is dealt into blocks, and each pair of blocks is compared in
-a task of its own, so no bucket meets in one task. A comparison hands on a spanning forest of its
+A bucket of more than ``REFINE`` members is indexed anew over the other segments, within the bucket:
+two members differ there by 2 bits or fewer in one segment or by one in the other, and fingerprints at
+2 bits share a value at one bit from both. A bucket of more than ``BLOCK`` members is dealt into
+blocks, and each pair of blocks is compared in a task of its own. So no bucket meets in one task, and
+no size of bucket makes the work grow with its square before the bits run out. A comparison hands on a spanning forest of its
 links, never all pairs. Components come from :func:`graph.components`.
 
 Defined cases: null, empty and blank texts have the fingerprint zero and link like any other. Fewer
@@ -38,7 +41,7 @@ SEED = 42
 BITS = 4
 #: Lowest bit, width and radius of each segment.
 SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))
-BLOCK = 512
+BLOCK, REFINE = 512, 8192
 #: Up to so many large buckets (16 bytes each) are broadcast; more are joined.
 BROADCAST_ROWS = 100_000
 RUN = 100_000
@@ -91,6 +94,33 @@ def _buckets(fp: Column) -> Column:
     return F.concat(*[of(k, *segment) for k, segment in enumerate(SEGMENTS)])
 
 
+def _refined(bucket: Column, fp: Column) -> Column:
+    """Array of the finer buckets of a member of a large bucket.
+
+    In the bucket's own segment members agree or differ by one bit, so ``BITS`` bits at most are left
+    for the other two; ball sizes 2 and 1 again make up five. A bucket's name is hashed from its parts:
+    if two share one, their members are compared in vain, no more.
+    """
+    home = F.shiftright(bucket, 32)
+
+    def of(segment: int) -> Column:
+        low, width, _ = SEGMENTS[segment]
+        key = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+        ball = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: key.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+        wide = home != F.lit((segment + 1) % len(SEGMENTS))  # of the two others, one takes the ball of 2
+        keys = F.concat(F.array(key), F.when(wide, ball).otherwise(F.filter(ball, lambda x: x > key)))
+        return F.when(home != segment, F.transform(keys, lambda x: F.xxhash64(bucket, F.lit(segment), x))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.concat(*[of(k) for k in range(len(SEGMENTS))])
+
+
+def _sizes(members: DataFrame, least: int, name: str) -> DataFrame:
+    """(l_bucket, n) of the buckets of more than ``least`` members; broadcast if few."""
+    large = members.groupBy("bucket").count().where(F.col("count") > least)
+    large = materialize(large.select(F.col("bucket").alias("l_bucket"), F.col("count").alias("n")), name)
+    return F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the links inside each (bucket, i, j); the rows come sorted by these."""
     held: list[np.ndarray] | None = None
@@ -153,13 +183,15 @@ def classes(fps: DataFrame) -> DataFrame:
     own = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
     own = materialize(own, "classes")
     members = own.select(F.explode(_buckets(F.col("fp"))).alias("bucket"), "fp", "node")
-    large = members.groupBy("bucket").count().where(F.col("count") > BLOCK)
-    large = materialize(large.select(F.col("bucket").alias("l_bucket"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
-    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    dealt = members.join(large, F.col("bucket") == F.col("l_bucket"), "left")
-    block = F.pmod(F.xxhash64("node"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    large = _sizes(members, BLOCK, "large")
+    sized = members.join(large, F.col("bucket") == F.col("l_bucket"), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    if large.where(F.col("n") > REFINE).limit(1).count():
+        fine = sized.where(F.col("n") > REFINE).select(F.explode(_refined(F.col("bucket"), F.col("fp"))).alias("bucket"), "fp", "node")
+        again = _sizes(fine, BLOCK, "larger").withColumnRenamed("l_bucket", "f_bucket")
+        fine = fine.join(again, F.col("bucket") == F.col("f_bucket"), "left").select("bucket", "fp", "node", F.coalesce("n", F.lit(1)).alias("n"))
+        sized = sized.where(F.col("n") <= REFINE).select("bucket", "fp", "node", "n").unionByName(fine)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "node")
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(map_in_arrow, _compare, "a long, b long")

@@ -221,9 +221,11 @@ def test_simhash(docs, none):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
-def test_simhash_large_buckets(spark, monkeypatch):
-    """Buckets over the block size lose no link."""
+@pytest.mark.parametrize("refine", [40, 10_000])
+def test_simhash_large_buckets(spark, monkeypatch, refine):
+    """Buckets over the block size, indexed anew or not, lose no link."""
     monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "REFINE", refine)
     r = random.Random(2)
     base = r.getrandbits(64)
     fps = [base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for _ in range(400)] + [r.getrandbits(64) for _ in range(300)] + [base] * 50
@@ -496,3 +498,23 @@ def test_token_file_layout(spark, docs):
     assert cols["n_tokens"].has_column_index and cols["doc_id"].has_offset_index
     assert "DELTA_BINARY_PACKED" in cols["doc_id"].encodings
     assert any("DICTIONARY" in e for n, c in cols.items() if n.startswith("tokens") for e in c.encodings)
+
+
+def test_refined_buckets_lose_no_pair(spark):
+    """Members of a bucket that differ by 4 bits or fewer share a finer bucket."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    base = r.getrandbits(63)
+    fps = [base] + [base ^ sum(1 << b for b in r.sample(range(63), r.randint(1, 4))) for _ in range(150)]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    rows = df.select("fp", F.explode(simhash._buckets(F.col("fp"))).alias("b")).select("fp", "b", simhash._refined(F.col("b"), F.col("fp")).alias("f")).collect()
+    by: dict = {}
+    for x in rows:
+        by.setdefault(x.b, []).append((x.fp, set(x.f)))
+    for members in by.values():
+        for i, (a, fa) in enumerate(members):
+            for b, fb in members[:i]:
+                own = [((a ^ b) >> low & (1 << width) - 1).bit_count() for low, width, _ in simhash.SEGMENTS]
+                if sum(own) <= 4:
+                    assert fa & fb
