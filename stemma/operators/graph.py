@@ -128,3 +128,14 @@ def build(
     first = F.row_number().over(Window.partitionBy("source_ref_id", "target_ref_id", "anchor_ref_id").orderBy("anchor_rank"))
     kept = kept.withColumn("__n", first).where("__n = 1").drop("__n").orderBy("source_ref_id", "target_ref_id", "anchor_ref_id")
     return nodes, kept, {"nodes": len(depth), "truncated_nodes": truncated, "max_depth": max_depth, "max_nodes": max_nodes}
+
+
+def described(nodes: DataFrame, records: DataFrame, edges: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """``nodes`` with titles (of the record, else of the anchor that names it) and, if given, digest details."""
+    own = records.select(F.col("ref_id").alias("id"), F.col("title").alias("__t")).dropDuplicates(["id"])
+    out = nodes.join(own, "id", "left")
+    if "anchor_title" in edges.columns:
+        named = edges.groupBy(F.col("target_ref_id").alias("id")).agg(F.min_by("anchor_title", "anchor_rank").alias("__a"))
+        out = out.join(named, "id", "left").withColumn("__t", F.coalesce("__t", "__a")).drop("__a")
+    out = out.withColumnRenamed("__t", "title")
+    return out if details is None else out.join(details.withColumnRenamed("ref_id", "id"), "id", "left")

@@ -129,3 +129,18 @@ def write(records: DataFrame, ref_ids: list[str], path: str, prefer_linked_doi:
     tables.remove(spark, path)
     made.where("bibtex is not null").orderBy("seq").select("bibtex").coalesce(1).write.text(path, lineSep="\n\n")
     return unresolved
+
+
+def prefer_linked_doi(entries_: DataFrame, identity: DataFrame, records: DataFrame) -> DataFrame:
+    """``entries_`` (seq, key, entry) with the entry of the linked DOI record where there is one, and what became of each.
+
+    ``outcome`` is ``converted``, ``missing`` (linked, but without a record), ``suspicious`` (an arXiv id whose entry names another DOI)
+    or ``kept``.
+    """
+    own = entries_.withColumn("ref_id", ref_id(F.col("entry"), F.col("key"))).withColumn("doi_field", ids.bare_doi(field(F.col("entry"), "doi")))
+    link = identity.groupBy(F.concat(F.lit("arxiv:"), "arxiv_id").alias("ref_id")).agg(F.min(F.lower("doi")).alias("linked"))
+    made = render(records).select(F.lower("ref_id").alias("__d"), "bibtex")
+    out = own.join(link, "ref_id", "left").join(made, F.concat(F.lit("doi:"), "linked") == F.col("__d"), "left")
+    other = F.col("doi_field").isNotNull() & ~F.col("doi_field").startswith("10.48550/arxiv") & (F.col("doi_field") != F.col("linked"))
+    outcome = F.when(F.col("linked").isNull(), "kept").when(other, "suspicious").when(F.col("bibtex").isNull(), "missing").otherwise("converted")
+    return out.select("seq", "key", outcome.alias("outcome"), F.when(outcome == "converted", F.col("bibtex")).otherwise(F.col("entry")).alias("entry"))
