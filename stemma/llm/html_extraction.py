@@ -53,7 +53,7 @@ _INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 _DROP = frozenset("nav footer aside form head menu dialog button fieldset".split())
-_CORE = frozenset("article main".split())
+_CORE = {"main": 1, "article": 2}  # an article inside a main part is the narrower declaration
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(ads?|advert\w*|adsense|banners?|sponsor\w*|promos?|promotion|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|"
@@ -64,10 +64,10 @@ _NAMES = re.compile(
 )
 
 
-def lines(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, inside the declared article, dropped by markup) of a page's blocks, in order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in core, dropped
+def lines(page: str | None) -> list[tuple[str, int, bool]]:
+    """(text, declared article around it: 0 none, 1 main, 2 article, dropped by markup) of a page's blocks, in order."""
+    out: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # name, core, dropped
     held: list[str] = []
 
     def flush() -> None:
@@ -76,7 +76,7 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
         if text:
             out.append((text, core, dropped))
 
-    core = dropped = False
+    core, dropped = 0, False
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
         if text is not None:
@@ -91,26 +91,26 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    changes = (core, dropped) != ((stack[k - 1][1:]) if k else (False, False))
+                    changes = (core, dropped) != ((stack[k - 1][1:]) if k else (0, False))
                     if changes:
                         flush()
                     del stack[k:]
                     break
                 if tag in _INLINE and stack[k][0] not in _INLINE:
                     break
-            core, dropped = stack[-1][1:] if stack else (False, False)
+            core, dropped = stack[-1][1:] if stack else (0, False)
             continue
         if tag in _VOID or m["attrs"].endswith("/") and tag in _INLINE:
             continue
         if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack:
             _close(stack, tag)
-            core, dropped = stack[-1][1:] if stack else (False, False)
-        now_core, now_dropped = core or tag in _CORE, dropped or tag in _DROP or tag == "header" and not core
+            core, dropped = stack[-1][1:] if stack else (0, False)
+        now_core, now_dropped = max(core, _CORE.get(tag, 0)), dropped or tag in _DROP or tag == "header" and not core
         for name, *values in _ATTR.findall(m["attrs"]):
             value = "".join(values)
             if name.lower() == "role":
                 now_dropped = now_dropped or value.lower() in _ROLES
-                now_core = now_core or value.lower() == "main"
+                now_core = max(now_core, _CORE["main"] if value.lower() == "main" else 0)
             elif tag not in ("html", "body"):
                 found = {x.lower() for x in _NAMES.findall(value)}
                 now_dropped = now_dropped or bool(found - {"header", "headers"} if now_core else found)
@@ -122,7 +122,7 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def _close(stack: list[tuple[str, bool, bool]], tag: str) -> None:
+def _close(stack: list[tuple[str, int, bool]], tag: str) -> None:
     """A new paragraph, list item or cell ends an open one, unless a container lies between."""
     for k in range(len(stack) - 1, -1, -1):
         name = stack[k][0]
@@ -162,7 +162,7 @@ def common(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
     return ours[::-1], theirs[::-1]
 
 
-def shared(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]]) -> set[int]:
+def shared(own: list[tuple[str, int, bool]], other: list[tuple[str, int, bool]]) -> set[int]:
     """Lines of ``own`` that are the template's, by its alignment with ``other``."""
     ours, theirs = common([x[0] for x in own], [x[0] for x in other])
     for page, at in ((own, ours), (other, theirs)):
@@ -174,11 +174,11 @@ def shared(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]
     return {k for k in ours if not own[k][1]}
 
 
-def main_text(own: list[tuple[str, bool, bool]], *near: list[tuple[str, bool, bool]]) -> str:
+def main_text(own: list[tuple[str, int, bool]], *near: list[tuple[str, int, bool]]) -> str:
     """Blocks that neither differencing nor markup takes away, one a line."""
     gone = set().union(*(shared(own, x) for x in near))
-    declared = any(core and not dropped for _, core, dropped in own)
-    kept = [x for k, (x, core, dropped) in enumerate(own) if k not in gone and not dropped and (core or not declared)]
+    declared = max((core for _, core, dropped in own if not dropped), default=0)
+    kept = [x for k, (x, core, dropped) in enumerate(own) if k not in gone and not dropped and core >= declared]
     return "\n".join(kept)
 
 

@@ -380,6 +380,8 @@ def test_html_markup():
     assert html_extraction.main_text(html_extraction.lines(None)) == html_extraction.main_text(html_extraction.lines("")) == ""
     assert html_extraction.main_text(html_extraction.lines("<p>a<!-- open <p>b")) == "a"
     assert html_extraction.main_text(html_extraction.lines("<p>a < b &amp c")) == "a < b & c"
+    assert html_extraction.main_text(html_extraction.lines("<main><p>Trail</p><article><p>A</p></article></main>")) == "A"
+    assert html_extraction.main_text(html_extraction.lines("<div role='main'><p>A</p></div><p>b</p>")) == "A"
 
 
 def test_html_differencing(spark):
