@@ -21,7 +21,7 @@ def normalize(text: Column, collapse_hyphen: bool = True, keep: str = "+#.") ->
 def tokens(text: Column, collapse_hyphen: bool = False) -> Column:
     """Array of tokens. Hyphens stay inside tokens unless ``collapse_hyphen``."""
     c = normalize(text) if collapse_hyphen else normalize(text, collapse_hyphen=False, keep="+#.-")
-    return F.filter(F.split(c, " "), lambda x: x != "")
+    return F.array_remove(F.split(c, " "), "")
 
 
 def normalize_py(text: str | None, collapse_hyphen: bool = True, keep: str = "+#.") -> str:

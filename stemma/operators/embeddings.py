@@ -92,11 +92,13 @@ def category_scores(index: DataFrame, queries: DataFrame, top_k: int = 2, id_col
     by: dict[str, list] = {}
     for r in held:
         by.setdefault(r["category_id"], []).append(r["vec"])
-    structs = []
-    for c, vecs in by.items():
-        scores = F.array_sort(F.array(*[vectors.dot(F.col(vec), F.array(*[F.lit(float(x)) for x in v])) for v in vecs]), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0))
-        structs.append(F.struct(F.lit(c).alias("category_id"), scores.alias("s")))
-    rows = index.where(F.col(vec).isNotNull()).select(id_col, F.explode(F.array(*structs)).alias("c"))
+    if not by:
+        raise ValueError("the query set is empty")
+    matrix = lambda vecs: F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in vecs])
+    sets = F.array(*[F.struct(F.lit(c).alias("category_id"), matrix(vecs).alias("vecs")) for c, vecs in by.items()])  # folds to one literal
+    rows = index.where(F.col(vec).isNotNull()).select(id_col, vec, F.explode(sets).alias("q"))
+    scores = F.sort_array(F.transform("q.vecs", lambda v: vectors.dot(F.col(vec), v)), asc=False)
+    rows = rows.select(id_col, F.struct(F.col("q.category_id").alias("category_id"), scores.alias("s")).alias("c"))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
     out = rows.select(
         id_col, "c.category_id", F.size("c.s").alias("query_n"), F.col("c.s")[0].alias("score_max"), mean(F.col("c.s")).alias("score_mean"),
