@@ -5,8 +5,9 @@ is cut into text blocks (the lines of the page), and its lines are aligned with
 before and the page after it of the same host by a longest common subsequence. Lines that are
 shared are the template's and are deleted. Two things are spared: pages whose aligned lines are most
 of either page's text are copies, not a template, and nothing is deleted on their account; and
-lines inside a declared ``article`` or ``main`` are the page's own, even where two articles hold one
-paragraph both. Markup then settles what differencing can't see (a template line that is
+paragraphs, headings and long lines inside a declared ``article`` or ``main`` are the page's own, even
+where two articles hold one paragraph both. Short lines there (share bars, notices, prompts) go if every
+neighbour has them in that place; items of a list or table only as a whole. Markup then settles what differencing can't see (a template line that is
 different on every page): elements that are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments by name, role or class are dropped, and so is all outside the declared
 article where there is one.
@@ -38,6 +39,8 @@ from stemma.llm.url_filters import host_and_path
 
 #: Share of either page's characters from which aligned pages count as copies.
 COPY = 0.5
+#: Longest line that differencing may delete inside a declared article.
+SHORT = 200
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
     |<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|select|object)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)
@@ -53,6 +56,8 @@ _INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 _DROP = frozenset("nav footer aside form head menu dialog button fieldset".split())
+_PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6".split())
+_LISTS = frozenset("ul ol dl table".split())
 _CORE = {"main": 1, "article": 2}  # an article inside a main part is the narrower declaration
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _NAMES = re.compile(
@@ -64,17 +69,23 @@ _NAMES = re.compile(
 )
 
 
-def lines(page: str | None) -> list[tuple[str, int, bool]]:
-    """(text, declared article around it: 0 none, 1 main, 2 article, dropped by markup) of a page's blocks, in order."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, core, dropped
+#: text, declared article around it (0 none, 1 main, 2 article), dropped by markup, place (-1 paragraph or heading, else number of the list around it or 0)
+Line = tuple[str, int, bool, int]
+
+
+def lines(page: str | None) -> list[Line]:
+    """A page's blocks, in order."""
+    out: list[Line] = []
+    stack: list[tuple[str, int, bool, int]] = []  # name, core, dropped, list
     held: list[str] = []
+    lists = 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, core, dropped))
+            block = next((x for x in reversed(stack) if x[0] not in _INLINE), ("", 0, False, 0))
+            out.append((text, core, dropped, -1 if block[0] in _PROSE else block[3]))
 
     core, dropped = 0, False
     for m in _TOKEN.finditer(page or ""):
@@ -91,20 +102,20 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    changes = (core, dropped) != ((stack[k - 1][1:]) if k else (0, False))
+                    changes = (core, dropped) != ((stack[k - 1][1:3]) if k else (0, False))
                     if changes:
                         flush()
                     del stack[k:]
                     break
                 if tag in _INLINE and stack[k][0] not in _INLINE:
                     break
-            core, dropped = stack[-1][1:] if stack else (0, False)
+            core, dropped = stack[-1][1:3] if stack else (0, False)
             continue
         if tag in _VOID or m["attrs"].endswith("/") and tag in _INLINE:
             continue
         if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack:
             _close(stack, tag)
-            core, dropped = stack[-1][1:] if stack else (0, False)
+            core, dropped = stack[-1][1:3] if stack else (0, False)
         now_core, now_dropped = max(core, _CORE.get(tag, 0)), dropped or tag in _DROP or tag == "header" and not core
         for name, *values in _ATTR.findall(m["attrs"]):
             value = "".join(values)
@@ -116,13 +127,17 @@ def lines(page: str | None) -> list[tuple[str, int, bool]]:
                 now_dropped = now_dropped or bool(found - {"header", "headers"} if now_core else found)
         if (now_core, now_dropped) != (core, dropped):
             flush()
-        stack.append((tag, now_core, now_dropped))
+        around = stack[-1][3] if stack else 0
+        if tag in _LISTS and not around:
+            lists += 1
+            around = lists
+        stack.append((tag, now_core, now_dropped, around))
         core, dropped = now_core, now_dropped
     flush()
     return out
 
 
-def _close(stack: list[tuple[str, int, bool]], tag: str) -> None:
+def _close(stack: list[tuple[str, int, bool, int]], tag: str) -> None:
     """A new paragraph, list item or cell ends an open one, unless a container lies between."""
     for k in range(len(stack) - 1, -1, -1):
         name = stack[k][0]
@@ -162,24 +177,33 @@ def common(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
     return ours[::-1], theirs[::-1]
 
 
-def shared(own: list[tuple[str, int, bool]], other: list[tuple[str, int, bool]]) -> set[int]:
-    """Lines of ``own`` that are the template's, by its alignment with ``other``."""
+def shared(own: list[Line], other: list[Line]) -> set[int] | None:
+    """Lines of ``own`` that ``other`` has too, by their alignment; None where the two are copies."""
     ours, theirs = common([x[0] for x in own], [x[0] for x in other])
     for page, at in ((own, ours), (other, theirs)):
         total = sum(len(x[0]) for x in page)
         if any(x[1] for x in page):  # with a declared article, what lies in it tells copies from a template
             at, total = [k for k in at if page[k][1]], sum(len(x[0]) for x in page if x[1])
         if total and sum(len(page[k][0]) for k in at) > COPY * total:
-            return set()
-    return {k for k in ours if not own[k][1]}
+            return None
+    return set(ours)
+
+
+def template(own: list[Line], found: list[set[int]]) -> set[int]:
+    """Lines of ``own`` that are the template's, of those that each of its neighbours shares."""
+    if not found:
+        return set()
+    every = set.intersection(*found)
+    split = {x[3] for k, x in enumerate(own) if k not in every}  # lists with lines of the page's own
+    inside = {k for k in every if own[k][1] and own[k][3] >= 0 and len(own[k][0]) <= SHORT and not (own[k][3] and own[k][3] in split)}
+    return inside | {k for k in set.union(*found) if not own[k][1]}
 
 
-def main_text(own: list[tuple[str, int, bool]], *near: list[tuple[str, int, bool]]) -> str:
+def main_text(own: list[Line], *near: list[Line]) -> str:
     """Blocks that neither differencing nor markup takes away, one a line."""
-    gone = set().union(*(shared(own, x) for x in near))
-    declared = max((core for _, core, dropped in own if not dropped), default=0)
-    kept = [x for k, (x, core, dropped) in enumerate(own) if k not in gone and not dropped and core >= declared]
-    return "\n".join(kept)
+    gone = template(own, [at for x in near if (at := shared(own, x)) is not None])
+    declared = max((x[1] for x in own if not x[2]), default=0)
+    return "\n".join(text for k, (text, core, dropped, _) in enumerate(own) if k not in gone and not dropped and core >= declared)
 
 
 def apply(pages: DataFrame) -> DataFrame:

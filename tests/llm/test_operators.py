@@ -411,6 +411,17 @@ def test_html_differencing_of_neighbours():
     assert html_extraction.main_text(kept, other) == "Shared\nOwn words of the one page here"
 
 
+def test_html_differencing_inside_articles():
+    """Short template lines inside an article go; paragraphs, and items of lists that differ, stay."""
+    page = lambda i: html_extraction.lines(
+        f"<article><div>Tell your friends</div><h2>Steps</h2><p>Shared</p><ul><li>Salt<li>Item {i}</ul><p>Own words of page {i}{' and more' * 20}</p>"
+        "<ul><li>Mail this</ul><div>Be the first to answer</div></article>"
+    )
+    assert html_extraction.main_text(page(1), page(0), page(2)) == "Steps\nShared\nSalt\nItem 1\nOwn words of page 1" + " and more" * 20
+    other = html_extraction.lines("<article><p>Nothing in common with the others.</p></article>")
+    assert html_extraction.main_text(page(1), page(0), other).startswith("Tell your friends")
+
+
 def test_common_subsequence():
     r = random.Random(0)
     for _ in range(200):
