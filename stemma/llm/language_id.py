@@ -1,6 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-A model is one bit-sliced Bloom filter: every cell holds a bit per language, so the ``HASHES`` cells
+A model is one bit-sliced Bloom filter: every cell holds a bit per language (in as many words of up
+to 64 bits as there are languages for), so the ``HASHES`` cells
 of an n-gram, ANDed, give the languages whose profile has it. The n-grams are runs of four lower-case
 letters, of which the first and last may be a word's edge. A language's count for a text is the
 number of n-grams with its bit; a filter whose cells are set to a share f has f**HASHES false hits,
@@ -10,7 +11,8 @@ the score is its share of all languages' counts.
 Profiles are learnt from a sample of at most about ``SAMPLE`` documents a language, chosen by a hash
 of the id, among those that :func:`common.held_out` leaves for learning. A language has an n-gram
 if it occurs ``LEAST`` times or more in its sample, at ``SHARE`` or more of the highest rate that
-any language has; that keeps foreign passages out of profiles. At most 64 languages are learnt.
+any language has; that keeps foreign passages out of profiles.
+Every language is learnt, however many there are.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0. Letters but no known
 n-gram: the most frequent language, score 0. Nothing to learn from: all ``und``. Null or repeated
@@ -35,7 +37,8 @@ from stemma.llm.common import held_out, table
 SAMPLE = 2000
 LEAST = 3
 SHARE = 0.1
-LANGUAGES = 64
+#: Languages per word of a cell.
+WORD = 64
 HASHES = 3
 #: Cells per n-gram of the largest profile, rounded up to a power of two.
 CELLS = 16
@@ -75,12 +78,12 @@ class Model:
         largest = max([1, *map(len, profiles)])
         bits = max(10, int(np.ceil(np.log2(largest * CELLS))))
         kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-        cells = np.zeros(1 << bits, kind)
+        cells = np.zeros((1 << bits, max(1, -(-len(languages) // WORD))), kind)
         for i, profile in enumerate(profiles):
             for k in range(HASHES):
                 at = cls.places(profile, k, bits)
-                cells[at] |= kind(1 << i)
-        fill = np.array([((cells >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
+                cells[at, i // WORD] |= kind(1 << i % WORD)
+        fill = np.array([((cells[:, i // WORD] >> kind(i % WORD)) & kind(1)).mean() for i in range(len(languages))])
         return cls(languages, cells, bits, fill**HASHES)
 
     @staticmethod
@@ -94,13 +97,13 @@ class Model:
         kind = self.cells.dtype.type
         for at, parts in codepoints.chunks(texts, overlap=3):
             h, part, letters = grams(parts)
-            mask = self.cells[self.places(h, 0, self.bits)]
-            for k in range(1, HASHES):
-                mask &= self.cells[self.places(h, k, self.bits)]
+            places = [self.places(h, k, self.bits) for k in range(HASHES)]
             np.add.at(n, at, np.bincount(part, minlength=len(parts)))
             np.add.at(n_letters, at, letters)
             for i in range(len(self.languages)):
-                found = part[(mask & kind(1 << i)) != 0]
+                if i % WORD == 0:
+                    mask = np.bitwise_and.reduce([self.cells[:, i // WORD][p] for p in places])
+                found = part[(mask & kind(1 << i % WORD)) != 0]
                 np.add.at(hits[:, i], at, np.bincount(found, minlength=len(parts)))
         fixed = (hits - n[:, None] * self.false_rate) / (1 - self.false_rate)
         return np.clip(fixed, 0, None), n, n_letters
@@ -122,7 +125,7 @@ class Model:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the text and lang of the documents that aren't held out."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counted]
     if not languages:
         return Model([], np.zeros(1, np.uint8), 0, np.zeros(0))
@@ -147,14 +150,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     total = got.groupby("lang")["n"].transform("sum")
     got["rate"] = got["n"] / total
     got = got[(got["n"] >= LEAST) & (got["rate"] >= SHARE * got.groupby("gram")["rate"].transform("max"))]
-    profiles = [np.sort(got.loc[got["lang"] == name, "gram"].to_numpy()).view(np.uint64) for name in languages]
+    own = {name: np.sort(x.to_numpy()).view(np.uint64) for name, x in got.groupby("lang")["gram"]}
+    profiles = [own.get(name, np.zeros(0, np.uint64)) for name in languages]
     return Model.build(languages, profiles)
 
 
 def predictions(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with lang_pred, score and known; ``docs`` has a column text."""
     kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # cells: 16 to 32 bytes an n-gram of the sample
+    held = docs.sparkSession.sparkContext.broadcast(model)  # cells: 16 to 32 an n-gram of the largest profile, of up to 8 bytes for each 64 languages
     fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

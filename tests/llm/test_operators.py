@@ -111,6 +111,17 @@ def test_language(spark, docs, none):
     assert language_id.apply(docs).columns == docs.columns
 
 
+def test_more_languages_than_bits_in_a_word(spark):
+    rnd = random.Random(2)
+    own = {f"l{i:03}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for i in range(140)}
+    rows = [(i, " ".join(rnd.choice(own[lang]) for _ in range(30)), lang) for i, lang in enumerate(list(own) * 6)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(known)
+    assert sorted(model.languages) == sorted(own)
+    names, _, share = model.predict([r[1] for r in rows])
+    assert names == [r[2] for r in rows] and share.min() > language_id.KNOWN
+
+
 def test_language_of_long_texts_is_that_of_the_whole(monkeypatch):
     text = "the tion ing and " * 500
     m = language_id.Model.build(["x", "y"], [np.unique(language_id.grams([text])[0]), np.unique(language_id.grams(["sch der ung"])[0])])
