@@ -12,8 +12,9 @@ different on every page): elements that are menus, headers, footers, sidebars, n
 scripts, styles or comments by name, role or class are dropped, and so is all outside the declared
 article where there is one.
 
-One shuffle, of the pages as read, range-partitioned by host, path and id: a host of any size is spread
-over many tasks. A page at a range's edge is compared with its one neighbour there.
+Two shuffles, of the pages and, before that, of hashes of their lines, both into ranges of host, path and id with the same
+bounds: a host of any size is spread over many tasks. From the hashes come the pages at the ranges' edges, which the ranges
+beside them get, so the text doesn't depend on the number of ranges.
 
 Defined cases: null or empty html gives an empty text. A null URL has no host, so no neighbours;
 markup alone decides. Repeated rows are copies and don't delete each other's lines. Unclosed elements
@@ -25,11 +26,13 @@ from __future__ import annotations
 
 import bisect
 import html
+import pickle
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,10 @@ from stemma.llm.url_filters import host_and_path
 
 #: Share of either page's characters from which aligned pages count as copies.
 COPY = 0.5
+#: Pages to look at on each side.
+LOOK = 1
+#: Sampled keys per range of the order, for its bounds.
+PER_RANGE = 100
 #: Longest line that differencing may delete inside a declared article.
 SHORT = 200
 _TOKEN = re.compile(
@@ -177,16 +184,31 @@ def common(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
     return ours[::-1], theirs[::-1]
 
 
-def shared(own: list[Line], other: list[Line]) -> set[int] | None:
-    """Lines of ``own`` that ``other`` has too, by their alignment; None where the two are copies."""
-    ours, theirs = common([x[0] for x in own], [x[0] for x in other])
-    for page, at in ((own, ours), (other, theirs)):
-        total = sum(len(x[0]) for x in page)
-        if any(x[1] for x in page):  # with a declared article, what lies in it tells copies from a template
-            at, total = [k for k in at if page[k][1]], sum(len(x[0]) for x in page if x[1])
-        if total and sum(len(page[k][0]) for k in at) > COPY * total:
-            return None
-    return set(ours)
+class Page:
+    """What comparing needs of a page: hashes and lengths of its lines, and which of them markup keeps."""
+
+    __slots__ = ("core", "hashes", "judged", "kept", "lengths", "size")
+
+    def __init__(self, own: list[Line]):
+        declared = max((x[1] for x in own if not x[2]), default=0)
+        self.hashes = [xxhash.xxh3_64_intdigest(x[0].encode("utf-8", "surrogatepass")) for x in own]
+        self.lengths = [len(x[0]) for x in own]
+        self.core = any(x[1] for x in own)
+        self.kept = frozenset(k for k, x in enumerate(own) if not x[2] and x[1] >= declared)
+        self.judged = frozenset(k for k, x in enumerate(own) if x[1] or not self.core)
+        self.size = sum(self.lengths[k] for k in self.judged)
+
+    def left(self, aligned: list[int]) -> bool:
+        """Whether text of its own is left when the aligned lines are taken away."""
+        gone = sum(self.lengths[k] for k in self.judged.intersection(aligned))
+        return gone <= COPY * self.size
+
+
+def shared(own: Page, other: Page) -> tuple[set[int] | None, bool]:
+    """Lines of ``own`` that ``other`` has too, by their alignment, or None where either has no text of its own left; whether neither has."""
+    ours, theirs = common(own.hashes, other.hashes)
+    left = own.left(ours), other.left(theirs)
+    return (set(ours) if all(left) else None), False
 
 
 def template(own: list[Line], found: list[set[int]]) -> set[int]:
@@ -201,45 +223,186 @@ def template(own: list[Line], found: list[set[int]]) -> set[int]:
 
 def main_text(own: list[Line], *near: list[Line]) -> str:
     """Blocks that neither differencing nor markup takes away, one a line."""
-    gone = template(own, [at for x in near if (at := shared(own, x)) is not None])
-    declared = max((x[1] for x in own if not x[2]), default=0)
-    return "\n".join(text for k, (text, core, dropped, _) in enumerate(own) if k not in gone and not dropped and core >= declared)
+    page = Page(own)
+    return _text(own, page, [at for x in near if (at := shared(page, Page(x))[0]) is not None])
+
+
+def _text(own: list[Line], page: Page, found: list[set[int]]) -> str:
+    gone = template(own, found)
+    return "\n".join(own[k][0] for k in sorted(page.kept) if k not in gone)
+
+
+def nearest(page: Page, runs: list[Page]) -> set[int] | None:
+    """Lines that the nearest differing page of ``runs``, last first, shares with ``page``."""
+    return next((at for x in reversed(runs) if (at := shared(page, x)[0]) is not None), None)
+
+
+#: first and last host of a range, first pages of the first host's runs of copies, last pages of the last host's runs
+Edge = tuple[str, str, list[Page], list[Page]]
+
+
+def edges(pages: Iterable[tuple[str, Page]]) -> Edge:
+    """What other ranges need of a range's pages (host, page), in order."""
+    first = last = None
+    starts: list[Page] = []
+    ends: list[Page] = []
+    for host, page in pages:
+        if first is None:
+            first = host
+        if host != last:
+            ends = []
+        same = bool(ends) and shared(page, ends[-1])[1]
+        ends = [*(ends[:-1] if same else ends), page][-LOOK - 1 :]
+        if host == first and not same and len(starts) <= LOOK:
+            starts.append(page)
+        last = host
+    return first, last, starts, ends
+
+
+def around(found: dict[int, Edge], at: int) -> tuple[list[Page], list[Page]]:
+    """For range ``at``: the runs before it of its first host and those after it of its last host, nearest last."""
+
+    def walk(numbers: list[int], host: str, forwards: bool) -> list[Page]:
+        parts: list[Edge] = []
+        for n in numbers:
+            first, last, starts, ends = found[n]
+            if (last if forwards else first) != host:
+                break
+            parts.append(found[n])
+            if first != last or len(ends if forwards else starts) > LOOK:
+                break
+        runs: list[Page] = []
+        for _, _, starts, ends in reversed(parts):
+            new, joint = (ends, starts[0]) if forwards else (starts[::-1], ends[-1])
+            if runs and shared(joint, runs[-1])[1]:
+                runs = runs[:-1]  # the same run goes on
+            runs = [*runs, *new][-LOOK - 1 :]
+        return runs
+
+    if at not in found:
+        return [], []
+    first, last = found[at][:2]
+    return (
+        walk([n for n in sorted(found, reverse=True) if n < at], first, True) if first else [],
+        walk([n for n in sorted(found) if n > at], last, False) if last else [],
+    )
+
+
+def texts(rows: Iterable[tuple], before: list[Page], after: list[Page]) -> Iterator[tuple]:
+    """(page_id, url, text) of a range's (page_id, url, host, lines, page) in order; ``before`` and ``after``: the runs around it, nearest last."""
+    waiting: list[list] = []  # row, lines shared with the page before, runs tried after it
+    names: dict[str, str] = {}  # rows that wait hold equal lines once
+    host: str | None = None
+    runs: list[Page] = []
+
+    def met(page: Page) -> Iterator[tuple]:
+        """A run after those that wait begins."""
+        for w in waiting[:]:
+            at = shared(w[0][4], page)[0]
+            w[2] += 1
+            if at is not None or w[2] == LOOK:
+                waiting.remove(w)
+                yield _done(w[0], w[1], at)
+
+    def end(later: list[Page]) -> Iterator[tuple]:
+        if later and runs and shared(runs[-1], later[-1])[1]:
+            later = later[:-1]
+        for page in reversed(later):
+            yield from met(page)
+        yield from (_done(row, back, None) for row, back, _ in waiting)
+        waiting.clear()
+
+    for row in rows:
+        page = row[4]
+        if row[2] != host:
+            yield from end([])
+            runs, host = before if host is None else [], row[2]
+        if not host:
+            yield _done(row, None, None)
+            continue
+        same = bool(runs) and shared(page, runs[-1])[1]
+        if not same:
+            yield from met(page)
+        if not waiting:
+            names.clear()
+        back = nearest(page, (runs[:-1] if same else runs)[-LOOK:])
+        runs = [*(runs[:-1] if same else runs), page][-LOOK - 1 :]
+        held = [(names.setdefault(x[0], x[0]), *x[1:]) for x in row[3]]
+        waiting.append([(row[0], row[1], row[2], held, page), back, 0])
+    yield from end(after)
 
 
-def apply(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+def _done(row: tuple, *found: set[int] | None) -> tuple:
+    return row[0], row[1], _text(row[3], row[4], [x for x in found if x is not None])
+
+
+def _ranged(pages: DataFrame) -> tuple[DataFrame, int]:
+    """page_id, url, html, host, path, digest and number of the range of the order; number of ranges. Bounds are of a sample of the keys."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("digest"))
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["host", "path", "page_id", "url"]
-    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    share = n * PER_RANGE / max(1, pages.count())
+    keys = keyed.select("host", "path", F.col("page_id").cast("long"))
+    got = {tuple(r) for r in (keys.sample(min(1.0, share), seed=1) if share < 1 else keys).collect()}
+    got = sorted(got, key=lambda k: (k[0], k[1], k[2] is not None, k[2] or 0))
+    bounds = sorted({len(got) * i // n for i in range(1, n)} - {0})
+    at = F.lit(0)
+    if bounds:
+        key = lambda h, p, i: F.struct(h.alias("h"), p.alias("p"), i.cast("long").alias("i"))
+        own = key(F.col("host"), F.col("path"), F.col("page_id"))
+        at = F.size(F.filter(F.array(*[key(*map(F.lit, got[b])) for b in bounds]), lambda b: b <= own))
+    return keyed.withColumn("range", at), len(bounds) + 1
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartitionById(n, F.col("range")).sortWithinPartitions("range", "host", "path", "page_id", "url", "digest")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for part in range(0, b.num_rows, 500):
+            yield from b.slice(part, 500).to_pylist()
+
+
+def apply(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    ranged, n = _ranged(pages)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marked = [pickle.dumps(Page(lines(x.as_py()))) for x in b.column("html")]
+            names = [x for x in b.schema.names if x != "html"]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(marked, pa.binary())], names=[*names, "page"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in groupby(_rows(batches), key=lambda r: r["range"]):
+            edge = edges((r["host"], pickle.loads(r["page"])) for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pickle.dumps(edge)], pa.binary())], names=["range", "edge"])
+
+    fields = ["page_id", "url", "host", "path", "digest", "range"]
+    named = ", ".join(f"{c} {ranged.schema[c].dataType.simpleString()}" for c in fields)
+    marked = ranged.select(*fields, "html").transform(map_in_arrow, marks, f"{named}, page binary")
+    found = {r[0]: pickle.loads(r[1]) for r in _dealt(marked, n).transform(map_in_arrow, ends, "range int, edge binary").collect()} if n > 1 else {}
+    near = pages.sparkSession.sparkContext.broadcast({k: around(found, k) for k in found})  # some hashes of a few pages a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pages_() -> Iterator[tuple]:
-            for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    yield row[0], row[1], row[3], lines(row[2])
-
-        def texts() -> Iterator[tuple]:
-            before = page = None
-            for after in chain(pages_(), (None,)):
-                if page:
-                    near = [x[3] for x in (before, after) if x and page[2] and x[2] == page[2]]
-                    text = main_text(page[3], *near)
-                    yield page[0], page[1], text, len(text)
-                before, page = page, after
+        def parsed(rows: Iterable[dict]) -> Iterator[tuple]:
+            for r in rows:
+                own = lines(r["html"])
+                yield r["page_id"], r["url"], r["host"], own, Page(own)
 
         held: list[tuple] = []
-        for row in texts():
-            held.append(row)
-            if len(held) == 500:
-                yield _batch(held)
-                held = []
+        for at, rows in groupby(_rows(batches), key=lambda r: r["range"]):
+            for page_id, url, text in texts(parsed(rows), *near.value.get(at, ([], []))):
+                held.append((page_id, url, text, len(text)))
+                if len(held) == 500:
+                    yield _batch(held)
+                    held = []
         if held:
             yield _batch(held)
 
-    return ordered.select("page_id", "url", "html", "host").transform(map_in_arrow, run, "page_id long, url string, text string, n_chars long")
+    return _dealt(ranged, n).select("page_id", "url", "html", "host", "range").transform(map_in_arrow, run, "page_id long, url string, text string, n_chars long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

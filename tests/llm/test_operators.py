@@ -433,6 +433,22 @@ def test_html_differencing_inside_articles():
     assert html_extraction.main_text(page(1), page(0), other).startswith("Tell your friends")
 
 
+def test_html_differencing_does_not_depend_on_partitions(spark):
+    """Few pages, each alone in its range, still find their neighbours."""
+    body = "<div>Top line of all</div><div>Own text {i}, a longer paragraph of this page alone, number {i}.</div><div>Read more here</div>"
+    rows = [(i, f"http://h{i % 3}.example/{i // 7}/{i}", PAGE.format(nav="", body=body.format(i=i))) for i in range(40)]
+    rows += [(None, None, "<p>x</p>"), (41, "http://h1.example/1/8", None), rows[3], (3, rows[3][1], "<p>Another version</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = []
+    for n in ("1", "3", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got.append(key(html_extraction.apply(df).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
 def test_common_subsequence():
     r = random.Random(0)
     for _ in range(200):
