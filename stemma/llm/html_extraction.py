@@ -3,8 +3,8 @@
 Pages are ordered by host and URL path, so that neighbours mostly come from one template. Each page
 is cut into text blocks (the lines of the page), and its lines are aligned with those of the page
 before and the page after it of the same host by a longest common subsequence. Lines that are
-shared are the template's and are deleted. Two things are spared: pages whose aligned lines are most
-of either page's text are copies, not a template, and nothing is deleted on their account; and
+shared are the template's and are deleted. Two things are spared: pages of which next to no text of their own is left are
+copies, and of such runs the next page that differs is taken instead, on each side; and
 paragraphs, headings and long lines inside a declared ``article`` or ``main`` are the page's own, even
 where two articles hold one paragraph both. Short lines there (share bars, notices, prompts) go if every
 neighbour has them in that place; items of a list or table only as a whole. Markup then settles what differencing can't see (a template line that is
@@ -17,7 +17,9 @@ bounds: a host of any size is spread over many tasks. From the hashes come the p
 beside them get, so the text doesn't depend on the number of ranges.
 
 Defined cases: null or empty html gives an empty text. A null URL has no host, so no neighbours;
-markup alone decides. Repeated rows are copies and don't delete each other's lines. Unclosed elements
+markup alone decides. Repeated rows are copies and don't delete each other's lines. Of copies that
+differ somewhat, long paragraphs stay unless both sides share them. A page that is a copy of, or part of, ``LOOK`` runs of
+different pages in a row is left whole on that side. Unclosed elements
 end with their parents; unclosed comments and scripts run to the page's end. An empty table gives an empty
 result. Pages of any length are read whole. Columns other than page_id, url, html are not read.
 """
@@ -40,10 +42,10 @@ from stemma.functions.shipping import map_in_arrow
 from stemma.llm.common import table
 from stemma.llm.url_filters import host_and_path
 
-#: Share of either page's characters from which aligned pages count as copies.
-COPY = 0.5
-#: Pages to look at on each side.
-LOOK = 1
+#: Pages are copies if no more than this share of either's text is its own.
+ALMOST = 0.1
+#: Runs of copies to look at on each side for a differing page.
+LOOK = 4
 #: Sampled keys per range of the order, for its bounds.
 PER_RANGE = 100
 #: Longest line that differencing may delete inside a declared article.
@@ -187,7 +189,7 @@ def common(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
 class Page:
     """What comparing needs of a page: hashes and lengths of its lines, and which of them markup keeps."""
 
-    __slots__ = ("core", "hashes", "judged", "kept", "lengths", "size")
+    __slots__ = ("core", "hashes", "kept", "lengths", "size")
 
     def __init__(self, own: list[Line]):
         declared = max((x[1] for x in own if not x[2]), default=0)
@@ -195,20 +197,21 @@ class Page:
         self.lengths = [len(x[0]) for x in own]
         self.core = any(x[1] for x in own)
         self.kept = frozenset(k for k, x in enumerate(own) if not x[2] and x[1] >= declared)
-        self.judged = frozenset(k for k, x in enumerate(own) if x[1] or not self.core)
-        self.size = sum(self.lengths[k] for k in self.judged)
+        self.size = sum(self.lengths[k] for k in self.kept)
 
     def left(self, aligned: list[int]) -> bool:
         """Whether text of its own is left when the aligned lines are taken away."""
-        gone = sum(self.lengths[k] for k in self.judged.intersection(aligned))
-        return gone <= COPY * self.size
+        gone = sum(self.lengths[k] for k in self.kept.intersection(aligned))
+        return self.size - gone > ALMOST * self.size
 
 
 def shared(own: Page, other: Page) -> tuple[set[int] | None, bool]:
     """Lines of ``own`` that ``other`` has too, by their alignment, or None where either has no text of its own left; whether neither has."""
+    if own.hashes == other.hashes:
+        return None, True
     ours, theirs = common(own.hashes, other.hashes)
     left = own.left(ours), other.left(theirs)
-    return (set(ours) if all(left) else None), False
+    return (set(ours) if all(left) else None), not any(left)
 
 
 def template(own: list[Line], found: list[set[int]]) -> set[int]:
@@ -218,7 +221,9 @@ def template(own: list[Line], found: list[set[int]]) -> set[int]:
     every = set.intersection(*found)
     split = {x[3] for k, x in enumerate(own) if k not in every}  # lists with lines of the page's own
     inside = {k for k in every if own[k][1] and own[k][3] >= 0 and len(own[k][0]) <= SHORT and not (own[k][3] and own[k][3] in split)}
-    return inside | {k for k in set.union(*found) if not own[k][1]}
+    # copies that differ somewhat share long paragraphs; a template's are on both sides
+    outside = {k for k in set.union(*found) if not own[k][1]}
+    return inside | {k for k in outside if own[k][3] >= 0 or len(own[k][0]) <= SHORT or k in every and len(found) > 1}
 
 
 def main_text(own: list[Line], *near: list[Line]) -> str:

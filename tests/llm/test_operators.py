@@ -447,6 +447,30 @@ def test_html_differencing_does_not_depend_on_partitions(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert {r.text for r in got[0] if r.page_id in range(4, 40)} == {f"Own text {i}, a longer paragraph of this page alone, number {i}." for i in range(4, 40)}
+
+
+def test_html_copies_are_judged_by_what_is_left():
+    menu = "".join(f"<div>Entry number {k} of the menu</div>" for k in range(16))
+    page = lambda i: html_extraction.lines(f"{menu}<div>{f'Own words {i}. ' * 22}</div>")
+    assert html_extraction.main_text(page(1), page(2)) == ("Own words 1. " * 22).strip()
+    near = [html_extraction.lines(f"<div>Top</div><p>{'Long passage. ' * 30}</p><p>{f'Edit {i}. ' * 15}</p>") for i in range(2)]
+    other = html_extraction.lines(f"<div>Top</div><p>{'Another text. ' * 30}</p>")
+    assert html_extraction.main_text(near[0], near[1], other).split("\n")[0] == ("Long passage. " * 30).strip()
+
+
+def test_html_runs_of_copies_are_compared_with_the_next_page_that_differs(spark):
+    body = "<div>Top line of all</div><div>Own text {i}, a longer paragraph of this page alone, number {i}.</div><div>Read more here</div>"
+    number = [0] * 9 + [1] + [2] * 30 + [3, 3]
+    rows = [(i, f"http://h.example/{i:03}", body.format(i=k)) for i, k in enumerate(number)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for n in ("1", "5", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = {r.page_id: r.text for r in html_extraction.apply(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {i: f"Own text {k}, a longer paragraph of this page alone, number {k}." for i, k in enumerate(number)}
 
 
 def test_common_subsequence():
