@@ -107,7 +107,10 @@ def digest_append(spark, d):
 def _events(spark, d):
     # streams need every column nullable
     schema = StructType([StructField(f.name, f.dataType, True) for f in read(spark, d, "events").schema])
-    return ingest.files(spark, d, schema, glob="events.parquet")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return ingest.files(spark, f"{d}/events.parquet", schema)
+    return ingest.files(spark, d, schema, glob="events.parquet")  # the glob fits names of files, not of folders
 
 
 def stream_daily_counts(spark, d):

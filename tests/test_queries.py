@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stemma.plans import registry
+from stemma.plans import registry, sources
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_streams_read_a_folder_of_part_files(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_daily_counts", "stream_latest"):
+        query = sources.QUERIES[name]
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, sf).collect()))
