@@ -110,7 +110,8 @@ def cut(rows: DataFrame) -> tuple[float, int]:
             left -= n
         if picked is None:
             return float("inf"), 0
-        if picked == BINS:  # beyond the grid; can't be, as at 1.0 the budget has one document a source left
+        if picked == BINS:  # beyond the grid: few and coarse documents, of which none was over before
+            lo, width = lo + BINS * width, float("inf")
             break
         lo, width = lo + picked * width, width / BINS
     last = (-1.0, -1)

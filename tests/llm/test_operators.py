@@ -375,6 +375,12 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(mixing.sizes(none)).count() == 0 and mixing.apply(none).count() == 0
 
 
+def test_mix_of_coarse_documents(spark):
+    """No document overruns the budget before finish time 2."""
+    df = spark.createDataFrame([(1, "a", 1000), (2, "b", 1000)], "doc_id long, source string, size long")
+    assert {r.doc_id: (r.target, r.taken) for r in mixing.mix(df).collect()} == {1: (2000.0, 2000), 2: (1000.0, 1000)}
+
+
 # 8 HTML
 
 
