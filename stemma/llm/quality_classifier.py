@@ -8,7 +8,8 @@ complete and lie in three flat arrays, so a batch walks all trees at once, level
 
 Defined cases: null and empty texts get the statistics of no text and a score like any other. No
 labelled rows: all scores 0.5. Several labels of one id: the lowest counts. Null or repeated ids are
-scored each for itself. An empty table gives an empty result. Long texts are read whole, in pieces.
+scored each for itself. An empty table gives an empty result. Long texts are read in pieces, but words,
+lines and repeats are those of the whole text.
 Columns other than doc_id and text are not read, whatever their names.
 """
 
@@ -53,6 +54,16 @@ def _repeats(part: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 def _runs(cp: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, hash) of the runs where ``inside`` holds; it must not hold at the end."""
+    start, length, h = _sums(cp, inside)
+    return start, length, _hash(h)
+
+
+def _hash(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _sums(cp: np.ndarray, inside: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with their hashes as sums over characters; the first run has ``before`` characters ahead of this piece."""
     edge = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
@@ -62,12 +73,62 @@ def _runs(cp: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     begun = np.zeros(len(cp), np.uint64)
     begun[start] = np.diff(np.r_[0, start]).astype(np.uint64)
     nth = pos - np.cumsum(begun)
+    if before:
+        nth[: length[0]] += np.uint64(before)
     mixed = (cp.astype(np.uint64) + np.uint64(1)) * (nth * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15))
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0x94D049BB133111EB)
     mixed[~inside] = 0
-    h = np.add.reduceat(mixed, start)
-    return start, length, (h ^ (h >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93)
+    return start, length, np.add.reduceat(mixed, start)
+
+
+def _word_repeats(of: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per part: distinct words, repeated pairs and repeated triples of words."""
+    distinct, _ = _repeats(of, h, n)
+    same2, same3 = of[1:] == of[:-1], of[2:] == of[:-2]
+    pair = h[:-1] * np.uint64(3) + (h[1:] ^ np.uint64(0x5851F42D4C957F2D)) if len(h) > 1 else h[:0]
+    three = pair[:-1] * np.uint64(5) + h[2:] if len(h) > 2 else h[:0]
+    _, pairs = _repeats(of[:-1][same2], pair[same2] * np.uint64(_ODD), n)
+    _, threes = _repeats(of[:-2][same3], three[same3] * np.uint64(_ODD), n)
+    return distinct, pairs, threes
+
+
+def _joined(pieces: list[str], inside_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first code point, length, hash) of the runs of a text in pieces; a run may go on over cuts."""
+    firsts, lengths, sums = [], [], []
+    goes_on = False
+    for piece in pieces:
+        cp, _ = codepoints.points([piece])
+        inside = inside_of(cp)
+        joins = goes_on and inside[0]
+        start, length, h = _sums(cp, inside, int(lengths[-1][-1]) if joins else 0)
+        first = cp[start]
+        if joins:
+            lengths[-1][-1] += length[0]
+            sums[-1][-1:] += h[:1]
+            first, length, h = first[1:], length[1:], h[1:]
+        if len(h):
+            firsts.append(first)
+            lengths.append(length)
+            sums.append(h)
+        goes_on = bool(inside[-2])  # the last is the line feed after the piece
+    if not sums:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(firsts), np.concatenate(lengths), _hash(np.concatenate(sums))
+
+
+def _long_counts(text: str) -> np.ndarray:
+    """Counts of a text longer than a piece: characters by pieces, words and lines and their repeats over the whole."""
+    pieces = [text[k : k + codepoints.PIECE] for k in range(0, len(text), codepoints.PIECE)]
+    c = sum(_counts([p])[:, 0] for p in pieces)
+    first, length, h = _joined(pieces, lambda cp: ~((cp == 32) | ((cp >= 9) & (cp <= 13))))
+    upper = ((first >= 65) & (first <= 90)) | ((first >= 0xC0) & (first <= 0xDE))
+    _, _, l_h = _joined(pieces, lambda cp: cp != 10)
+    l_distinct, _ = _repeats(np.zeros(len(l_h), np.int64), l_h, 1)
+    repeats = _word_repeats(np.zeros(len(h), np.int64), h, 1)
+    c[1:4] = len(h), length.sum(), length.max(initial=0)
+    c[13:] = len(l_h), len(l_h) - l_distinct[0], *(x[0] for x in repeats), (length <= 3).sum(), upper.sum()
+    return c
 
 
 def _counts(parts: list[str]) -> np.ndarray:
@@ -85,12 +146,7 @@ def _counts(parts: list[str]) -> np.ndarray:
     of = part[at]
     longest = np.zeros(n)
     np.maximum.at(longest, of, length)
-    distinct, _ = _repeats(of, h, n)
-    same2, same3 = of[1:] == of[:-1], of[2:] == of[:-2]
-    pair = h[:-1] * np.uint64(3) + (h[1:] ^ np.uint64(0x5851F42D4C957F2D)) if len(h) > 1 else h[:0]
-    three = pair[:-1] * np.uint64(5) + h[2:] if len(h) > 2 else h[:0]
-    _, pairs = _repeats(of[:-1][same2], pair[same2] * np.uint64(_ODD), n)
-    _, threes = _repeats(of[:-2][same3], three[same3] * np.uint64(_ODD), n)
+    distinct, pairs, threes = _word_repeats(of, h, n)
     l_at, _, l_h = _runs(cp, cp != 10)
     lines, (l_distinct, _) = _by(part[l_at], n), _repeats(part[l_at], l_h, n)
     return np.stack(
@@ -107,13 +163,13 @@ _ODD = 0x9FB21C651E98DF25
 
 
 def statistics(texts: list[str | None]) -> np.ndarray:
-    """One row of ``FEATURES`` per text. Of texts cut into pieces, repeats count within pieces."""
+    """One row of ``FEATURES`` per text."""
     c = np.zeros((20, len(texts)))
-    for at, parts in codepoints.chunks(texts):
-        got = _counts(parts)
-        top = np.maximum(c[3, at], got[3])
-        np.add.at(c, (slice(None), at), got)
-        c[3, at] = top
+    long = [i for i, t in enumerate(texts) if t and len(t) > codepoints.PIECE]
+    for at, parts in codepoints.chunks([None if t and len(t) > codepoints.PIECE else t for t in texts]):
+        c[:, at] = _counts(parts)
+    for i in long:
+        c[:, i] = _long_counts(texts[i])
     over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
     chars, n_words, lines = c[0], c[1], c[13]
     return np.stack(

@@ -333,6 +333,15 @@ def test_statistics_by_brute_force():
         assert f["word_length"] == pytest.approx(sum(map(len, w)) / n)
 
 
+def test_statistics_of_long_texts_are_those_of_the_whole(monkeypatch):
+    passage = "Some words Here\n" + "x" * 700 + " and more of them, repeated.\nA line\n\n"
+    texts = [passage * 5, "y" * 2500, "\n " * 900, passage, None, "a b c\n" * 400]
+    whole = quality_classifier.statistics(texts)
+    for piece in (999, 1000, 250):
+        monkeypatch.setattr(codepoints, "PIECE", piece)
+        assert np.array_equal(quality_classifier.statistics(texts), whole)
+
+
 # 7 mixing
 
 
