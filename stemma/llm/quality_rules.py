@@ -1,12 +1,13 @@
 """Quality rules with thresholds that follow the data. DataFrame functions only.
 
-Base rules are fixed. The others compare a document with its own language and source: each
-measure's values go into a mergeable quantile sketch (counts on a log-linear grid: 64 exact
-values, then 32 cells per power of two, so a quantile is at most 1/32 too low). A document fails
-where a measure lies above ``q75 + FENCE * (q75 - q25)`` of its group, and above the measure's
-guard rail, which keeps groups with next to no spread from rejecting ordinary documents. As
-sketches merge by adding counts, groups of fewer than ``MIN_GROUP`` documents use the sketch of
-their language, and languages as small as that the sketch of all.
+Base rules are fixed. The others have no fixed cutoff and compare a document with its own language
+and source: each measure's values go into a mergeable quantile sketch (counts on a log-linear grid: 64
+exact values, then 32 cells per power of two, so a quantile is at most 1/32 too low). A document
+fails where a measure lies above ``q75 + FENCE * spread`` of its group. The spread is ``q75 - q25``
+of the group or, if that is wider, of its language: a group that copies of one document fill has next to no
+spread of its own, and mustn't reject the rest for it. As sketches merge by adding counts, groups of fewer than
+``MIN_GROUP`` documents use the sketch of their language, and languages as small as that the sketch of
+all. A measure without any spread, even over the language, has no threshold there.
 
 Defined cases: null text counts as no words (base_failed). Null lang or source is a group of its
 own. Repeated rows are judged each for itself and alike. An empty table gives an empty result.
@@ -21,15 +22,16 @@ from pyspark.sql.window import Window
 
 from stemma.llm.common import NOT_SPACE, let, materialize, table, words
 
-#: Measures: name, numerator, denominator, scale, guard rail (in scaled units).
+#: Measures: name, numerator, denominator, scale.
 MEASURES = (
-    ("symbols", "n_symbols", "n_words", 1000, 100),
-    ("dup_lines", "n_dup_lines", "n_lines", 1000, 350),
-    ("capitals", "n_capitals", "word_chars", 1000, 300),
-    ("word_length", "word_chars", "n_words", 100, 1500),
+    ("marks", "n_marks", "word_chars", 1000),
+    ("capitals", "n_capitals", "word_chars", 1000),
+    ("word_length", "word_chars", "n_words", 100),
 )
-FENCE = 3
+FENCE = 4
 MIN_GROUP = 30
+#: ASCII punctuation and symbols.
+MARKS = r"[!-/:-@\[-`{-~]"
 #: Up to so many thresholds rows are broadcast (about 60 bytes each); more are joined by salted keys.
 BROADCAST_ROWS = 50_000
 SALTS = 32
@@ -78,9 +80,7 @@ def text_stats(text: Column) -> Column:
 
     lines = let(
         F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)),
-        lambda x: F.struct(
-            F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup")
-        ),
+        lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     )
     per_words = let(
         words(text),
@@ -96,9 +96,9 @@ def text_stats(text: Column) -> Column:
             s["w"]["n_words"].alias("n_words"),
             s["w"]["word_chars"].alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            s["l"]["n_dup"].alias("n_dup_lines"),
+            s["l"].alias("n_dup_lines"),
             s["w"]["n_repeat_words"].alias("n_repeat_words"),
-            s["l"]["n_lines"].alias("n_lines"),
+            F.regexp_count(text, F.lit(MARKS)).cast("long").alias("n_marks"),
             F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         ),
     )
@@ -107,7 +107,7 @@ def text_stats(text: Column) -> Column:
 def _measures(stats: Column) -> list[Column]:
     """Scaled whole numbers, null where the denominator is 0."""
     out = []
-    for name, top, bottom, scale, _ in MEASURES:
+    for name, top, bottom, scale in MEASURES:
         out.append(F.when(stats[bottom] > 0, F.floor(stats[top] * scale / stats[bottom]).cast("long")).alias(name))
     return out
 
@@ -134,7 +134,7 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def _fences(cells: DataFrame, keys: list[str]) -> DataFrame:
+def _quartiles(cells: DataFrame, keys: list[str]) -> DataFrame:
     by = Window.partitionBy(*keys, "measure")
     run = F.sum("n").over(by.orderBy("cell"))
     total = F.sum("n").over(by)
@@ -143,34 +143,24 @@ def _fences(cells: DataFrame, keys: list[str]) -> DataFrame:
     return (
         at.groupBy(*keys, "measure")
         .agg(F.max("total").alias("total"), q(1).alias("q25"), q(3).alias("q75"))
-        .select(*keys, "measure", "total", (F.col("q75") + FENCE * (F.col("q75") - F.col("q25"))).alias("fence"))
+        .select(*keys, "measure", "total", "q75", (F.col("q75") - F.col("q25")).alias("spread"))
     )
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
     """(lang, source, one column per measure): the value above which a document fails."""
-    own = _fences(cells, ["lang", "source"])
-    lang = _fences(cells.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")), ["lang"])
-    every = _fences(cells.groupBy("measure", "cell").agg(F.sum("n").alias("n")), [])
-    lang = lang.select(F.col("lang").alias("l_lang"), "measure", F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
-    every = every.select("measure", F.col("fence").alias("a_fence"))
-    rail = F.create_map(*[F.lit(x) for m in MEASURES for x in (m[0], m[4])])
-    best = (
-        F.when(F.col("total") >= MIN_GROUP, F.col("fence"))
-        .when(F.col("l_total") >= MIN_GROUP, F.col("l_fence"))
-        .otherwise(F.col("a_fence"))
-    )
-    joined = own.join(
-        lang.withColumnRenamed("measure", "l_measure"),
-        F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")),
-        "left",
-    ).join(every, "measure", "left")
-    return joined.groupBy("lang", "source").agg(
-        *[
-            F.max(F.when(F.col("measure") == m[0], F.greatest(best, rail[F.col("measure")].cast("long")))).alias(f"max_{m[0]}")
-            for m in MEASURES
-        ]
-    )
+    own = _quartiles(cells, ["lang", "source"])
+    lang = _quartiles(cells.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")), ["lang"])
+    every = _quartiles(cells.groupBy("measure", "cell").agg(F.sum("n").alias("n")), [])
+    lang = lang.select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), *[F.col(c).alias(f"l_{c}") for c in ("total", "q75", "spread")])
+    every = every.select("measure", *[F.col(c).alias(f"a_{c}") for c in ("q75", "spread")])
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")), "left").join(every, "measure", "left")
+    wide = F.when(F.col("l_total") >= MIN_GROUP, F.col("l_spread")).otherwise(F.col("a_spread"))
+    at = lambda own_, lang_, all_: F.when(F.col("total") >= MIN_GROUP, own_).when(F.col("l_total") >= MIN_GROUP, lang_).otherwise(all_)
+    centre = at(F.col("q75"), F.col("l_q75"), F.col("a_q75"))
+    spread = at(F.greatest("spread", wide), F.col("l_spread"), F.col("a_spread"))
+    fence = F.when(spread > 0, centre + FENCE * spread)
+    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m[0], fence)).alias(f"max_{m[0]}") for m in MEASURES])
 
 
 def base_failed(stats: Column) -> Column:
@@ -204,12 +194,11 @@ def judge(rows: DataFrame, limits: DataFrame, lang: str, source: str, stats: str
 def apply(docs: DataFrame) -> DataFrame:
     """``docs`` with two more columns: ``__qr_stats`` (struct of counts) and ``__qr_kept``.
 
-    The texts are read twice, once for the sketches and once for the verdicts, and never shuffled.
+    The texts are counted once, written with their counts, and never shuffled.
     """
-    stats = text_stats(F.col("text")).alias(f"{_S}_stats")
-    measured = docs.select("lang", "source", stats)
-    cells = materialize(sketches(measured.select("lang", "source", *_measures(F.col(f"{_S}_stats")))), "sketches")
-    return judge(docs.select("*", stats), materialize(thresholds(cells), "thresholds"), "lang", "source", f"{_S}_stats")
+    counted = materialize(docs.select("*", text_stats(F.col("text")).alias(f"{_S}_stats")), "counted")
+    cells = materialize(sketches(counted.select("lang", "source", *_measures(F.col(f"{_S}_stats")))), "sketches")
+    return judge(counted, materialize(thresholds(cells), "thresholds"), "lang", "source", f"{_S}_stats")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,13 +221,12 @@ def _cell_sql(x: str) -> str:
     return f"case when {x} < 64 then {x} else ({x} >> (length(bin({x})) - 6)) << (length(bin({x})) - 6) end"
 
 
-_FENCE_SQL = f"""
-    select {{keys}} measure, max(total) as total,
-      min(case when run * 4 >= total * 3 then cell end)
-        + {FENCE} * (min(case when run * 4 >= total * 3 then cell end) - min(case when run * 4 >= total then cell end)) as fence
-    from (select *, sum(n) over (partition by {{keys}} measure order by cell) as run, sum(n) over (partition by {{keys}} measure) as total
-          from {{cells}})
-    group by {{keys}} measure"""
+_QUARTILES_SQL = """
+    select {keys} measure, max(total) as total, min(case when run * 4 >= total * 3 then cell end) as q75,
+      min(case when run * 4 >= total * 3 then cell end) - min(case when run * 4 >= total then cell end) as spread
+    from (select *, sum(n) over (partition by {keys} measure order by cell) as run, sum(n) over (partition by {keys} measure) as total
+          from {cells})
+    group by {keys} measure"""
 
 ORACLE_SQL = rf"""
 with d as (
@@ -257,25 +245,27 @@ s as (
   select doc_id, lang, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
     (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_rep, 0)::bigint as n_repeat_words,
-    len(ls)::bigint as n_lines, len(regexp_extract_all(text, '[A-Z]'))::bigint as n_capitals
+    len(regexp_extract_all(text, '{MARKS}'))::bigint as n_marks, len(regexp_extract_all(text, '[A-Z]'))::bigint as n_capitals
   from w left join cov using (rid)),
 m as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-    {", ".join(f"case when {b} > 0 then ({t} * {k}) // {b} end as {n}" for n, t, b, k, _ in MEASURES)} from s),
+    {", ".join(f"case when {b} > 0 then ({t} * {k}) // {b} end as {n}" for n, t, b, k in MEASURES)} from s),
 long as (
   {" union all ".join(f"select lang, source, '{n}' as measure, {_cell_sql(n)} as cell from m where {n} is not null" for n, *_ in MEASURES)}),
 cells as (select lang, source, measure, cell, count(*) as n from long group by all),
 lcells as (select lang, measure, cell, sum(n) as n from cells group by all),
 acells as (select measure, cell, sum(n) as n from cells group by all),
-own as ({_FENCE_SQL.format(keys="lang, source,", cells="cells")}),
-bylang as ({_FENCE_SQL.format(keys="lang,", cells="lcells")}),
-every as ({_FENCE_SQL.format(keys="", cells="acells")}),
-rails(measure, rail) as (values {", ".join(f"('{m[0]}', {m[4]})" for m in MEASURES)}),
+own as ({_QUARTILES_SQL.format(keys="lang, source,", cells="cells")}),
+bylang as ({_QUARTILES_SQL.format(keys="lang,", cells="lcells")}),
+every as ({_QUARTILES_SQL.format(keys="", cells="acells")}),
 lim as (
   select o.lang, o.source, o.measure,
-    greatest(rail, case when o.total >= {MIN_GROUP} then o.fence when b.total >= {MIN_GROUP} then b.fence else e.fence end) as top
+    case when o.total >= {MIN_GROUP} then o.q75 when b.total >= {MIN_GROUP} then b.q75 else e.q75 end as centre,
+    case when o.total >= {MIN_GROUP} then greatest(o.spread, case when b.total >= {MIN_GROUP} then b.spread else e.spread end)
+      when b.total >= {MIN_GROUP} then b.spread else e.spread end as width,
+    case when width > 0 then centre + {FENCE} * width end as top
   from own o left join bylang b on o.lang is not distinct from b.lang and o.measure = b.measure
-    left join every e on o.measure = e.measure join rails r on o.measure = r.measure),
+    left join every e on o.measure = e.measure),
 wide as (
   select lang, source, {", ".join(f"max(case when measure = '{m[0]}' then top end) as max_{m[0]}" for m in MEASURES)} from lim group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

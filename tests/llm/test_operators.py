@@ -88,6 +88,33 @@ def test_quality_thresholds_follow_the_group(spark):
     assert all(v for k, v in kept.items() if k[0] != 1000)  # what every document of b has is no fault there
 
 
+def test_quality_group_full_of_copies(spark):
+    """Copies leave their group no spread; its language's keeps the other documents."""
+    rnd = random.Random(9)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) + rnd.choice(["", "", "", ","]) for _ in range(90))
+    rows = [(i, text(), "en", "other") for i in range(200)] + [(1000 + i, text(), "en", "hot") for i in range(40)]
+    rows += [(2000 + i, rows[0][1], "en", "hot") for i in range(160)]
+    rows += [(3000, " ".join(f"{'q' * (k % 7 + 1)}#{k}#" for k in range(90)), "en", "hot")]
+    out = quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert [r.doc_id for r in out.where("not __qr_kept").collect()] == [3000]
+
+
+def test_quality_no_spread_no_threshold(spark):
+    rows = [(i, " ".join(f"w{k:02d}{i:02d}" for k in range(60)), "en", "s") for i in range(40)]
+    rows.append((99, " ".join(f"w{k:02d}#" for k in range(60)), "en", "s"))
+    out = quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert out.where("not __qr_kept").count() == 0
+
+
+def test_quality_fences_decide(spark, sf):
+    """No cutoff is fixed: of documents that the base rules keep, the fences find the bad and spare the good."""
+    out = QUERIES["op1_quality_rules"](spark, sf).where("not base_failed").join(common.table(spark, sf, "labels"), "doc_id")
+    got = {r[0]: (r[1], r[2]) for r in out.groupBy("quality").agg({"kept": "count", "base_failed": "count"}).collect()}
+    lost = {r[0]: r[1] for r in out.where("not kept").groupBy("quality").count().collect()}
+    assert lost.get(1, 0) <= 0.005 * got[1][0]
+    assert lost[0] >= 0.9 * got[0][0]
+
+
 def test_quality_empty(none):
     assert quality_rules.apply(none).count() == 0
 
