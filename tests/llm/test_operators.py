@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stemma.llm import (
     codepoints, common, embedding_dedup, graph, html_extraction, language_id, mixing, packing, quality_classifier, quality_rules, simhash, tokens, url_filters,
@@ -427,13 +429,26 @@ PAGE = (
 )
 
 
+def text(page, *near):
+    return html_extraction.main_text(html_extraction.lines(page), *map(html_extraction.lines, near))
+
+
 def test_html_markup():
     page = PAGE.format(nav="<nav><ul><li><a href='/'>Home</a></ul></nav>", body="<article><h1>A &amp; B</h1><p>One\n  <b>two</b>&nbsp;x<p>Three &lt;3<br></article>")
     assert html_extraction.main_text(html_extraction.lines(page)) == "A & B\nOne two x\nThree <3"
     assert html_extraction.main_text(html_extraction.lines(None)) == html_extraction.main_text(html_extraction.lines("")) == ""
     assert html_extraction.main_text(html_extraction.lines("<p>a<!-- open <p>b")) == "a"
     assert html_extraction.main_text(html_extraction.lines("<p>a < b &amp c")) == "a < b & c"
-    assert html_extraction.main_text(html_extraction.lines("<main><p>Trail</p><article><p>A</p></article></main>")) == "A"
+    assert text("<main><div>Trail</div><article><p>All of it</p></article></main>") == "All of it"
+    assert text("<main><h1>Headline</h1><p>Lead</p><article>Teaser</article><p>Rest</p></main>") == "Headline\nLead\nTeaser\nRest"
+    assert text("<main><h1>Headline</h1><div>Trail</div><article><p>Long enough to be most of it</p></article></main>") == "Headline\nLong enough to be most of it"
+    named = "<h2 id='related-work'>Related work</h2><p class='notice-board'>Board</p><section id='legal-history'><p>Law</p></section>"
+    for part in ("article", "main", "div"):
+        assert text(f"<{part}>{named}</{part}>") == "Related work\nBoard\nLaw"
+    assert text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>") == "So x=1 holds"
+    assert text("<article><p>A</p><div class='comments'>Nice</div><div class='ad'>Buy</div><section id='comments'>More</section></article>") == "A"
+    assert text("<div class='site-header'>S</div><div class='ad-box-1'>Buy</div><div id='side-bar'>B</div><p>A</p>") == "A"
+    assert text("<article><svg viewBox='0 0'/><p>A</p></article>") == "A"
     assert html_extraction.main_text(html_extraction.lines("<div role='main'><p>A</p></div><p>b</p>")) == "A"
 
 
@@ -515,16 +530,118 @@ def test_html_runs_of_copies_are_compared_with_the_next_page_that_differs(spark)
         assert got == {i: f"Own text {k}, a longer paragraph of this page alone, number {k}." for i, k in enumerate(number)}
 
 
-def test_common_subsequence():
-    r = random.Random(0)
-    for _ in range(200):
-        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 12))] for _ in range(2))
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a)):
-            for j in range(len(b)):
-                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        x, y = html_extraction.common(a, b)
-        assert len(x) == t[-1][-1] and [a[i] for i in x] == [b[j] for j in y] and x == sorted(set(x)) and y == sorted(set(y))
+def brute_common(a, b):
+    best = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+    return best[-1, -1]
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 3, 12, 60])
+def test_common_subsequence(kinds):
+    rnd = random.Random(kinds)
+    for _ in range(60):
+        a, b = ([rnd.randrange(kinds) for _ in range(rnd.randint(0, 60))] for _ in range(2))
+        ours, theirs = html_extraction.common(a, b)
+        assert [a[i] for i in ours] == [b[j] for j in theirs]
+        assert all(i < j for x in (ours, theirs) for i, j in zip(x, x[1:], strict=False))
+        assert len(ours) == brute_common(a, b)
+        lengths = html_extraction._lengths(a, b)
+        assert lengths.tolist() == [brute_common(a, b[:j]) for j in range(len(b) + 1)] if b else True
+
+
+def test_html_long_pages_of_equal_lines_and_open_quotes():
+    """Neither lines that repeat nor quotes that don't end cost the square of a page's length."""
+    a = [1, 2] * 20_000 + [3]
+    b = [2, 2, 1] * 12_000
+    begun = time.time()
+    assert len(html_extraction.common(a, b)[0]) >= 24_000
+    page = "<a href='x>" * 40_001 + "end"
+    assert html_extraction.lines(page)
+    assert text("<a href='" * 40_001 + "end").endswith("end")
+    assert time.time() - begun < 20
+
+
+def site(rnd, named):
+    """Pages of one host from templates whose menus, adverts and footers rotate; the article is in an element called ``named``."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    menus = [(" ".join(f"<li>{say(1)}</li>" for _ in range(4)), say(6), say(8)) for _ in range(10)]
+    rows = []
+    for i in range(120):
+        menu, ad, foot = menus[rnd.randrange(10)]
+        ps = [say(rnd.randint(3, 60)) for _ in range(rnd.randint(1, 8))]
+        if i % 10 == 3:
+            ps = [*rows[-1][1].split("\n")[1:], say(30)]  # an edited copy
+        title = say(5)
+        article = f"<{named}><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"<div class='end'>Read on at our site</div></{named}>"
+        html = f"<html><body><div class='m1'><ul>{menu}</ul></div><div class='x9'>{ad}</div>{article}<div class='f1'>{foot}</div></body></html>"
+        rows.append((html, "\n".join([title, *ps])))
+    return rows
+
+
+@pytest.mark.parametrize("named", ["article", "div"])
+def test_html_differencing_extracts_by_itself(spark, named):
+    """Neither element nor class names tell the template here; the same text whatever the number of ranges."""
+    rows = site(random.Random(4), named)
+    table = [(i, f"http://h.example/a/{i:03}", r[0]) for i, r in enumerate(rows)] + [(500, "http://other.example/", "<p>x</p>")]
+    table += [(600 + i, "http://h.example/a/050", rows[50][0]) for i in range(20)]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(3)
+    want = {i: r[1] for i, r in enumerate(rows)}
+    for n in ("1", "4", "8", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = {r.page_id: r.text for r in html_extraction.apply(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(got) == len(table)
+        assert {i for i in want if got[i] != want[i]} == set(), n
+        assert all(got[600 + i] == want[50] for i in range(20)) and got[500] == "x"
+
+
+def brute_texts(rows):
+    """(id, text) of (host, key, html) rows by comparing every page of a host with all within NEAR runs of it."""
+    out = []
+    for host in sorted({r[0] for r in rows}):
+        runs = []
+        for _, key_, page in sorted(r for r in rows if r[0] == host):
+            if not runs or runs[-1][0] != page:
+                runs.append((page, []))
+            runs[-1][1].append(key_)
+        own = [html_extraction.lines(page) for page, _ in runs]
+        seen = [html_extraction.Seen(n, html_extraction.Page(x), x) for n, x in enumerate(own)]
+        near = lambda n: range(max(0, n - html_extraction.NEAR), min(len(runs), n + html_extraction.NEAR + 1))
+        for i in range(len(runs)):
+            for j in near(i):
+                if j < i:
+                    seen[i].meet(seen[j])
+        for i, (_, keys) in enumerate(runs):
+            out += [(k, seen[i].text(seen[j] for j in near(i))) for k in keys]
+    return sorted(out)
+
+
+def test_html_windows_by_brute_force(spark):
+    rnd = random.Random(8)
+    pages = [r[0] for r in site(rnd, "div")]
+    rows = [(f"h{min(rnd.randrange(9), 3)}.example", i, pages[rnd.randrange(len(pages))] if rnd.random() < 0.8 else pages[7]) for i in range(700)]
+    table = [(i, f"http://{h}/p", page) for h, i, page in rows]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(5)
+    want = brute_texts(rows)
+    for n in ("1", "6", "90"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert sorted((r.page_id, r.text) for r in html_extraction.apply(df).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_html_without_declared_articles(spark, sf):
+    """The same texts with the articles' elements renamed."""
+    pages = common.table(spark, sf, "pages")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "<(/?)article", "<$1div"))
+    assert key(html_extraction.apply(pages).collect()) == key(html_extraction.apply(renamed).collect())
+
 
 
 # 9 packing, 10 token files
