@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 
-#: Code points handled at once. Longer texts come in several pieces.
+#: Code points handled at once; longer texts are cut into pieces.
 PIECE = 1_000_000
 
 
@@ -17,24 +17,19 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def chunks(texts: list[str | None], overlap: int = 0, most: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
-    """Runs of (text number, part of that text), each run of at most ``most`` characters or so.
-
-    A text longer than that is cut into parts that share ``overlap`` characters.
-    """
+def chunks(texts: list[str | None], most: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of (text number, text), each run of at most ``most`` characters or so; a longer text is a run of its own, whole."""
     at: list[int] = []
     parts: list[str] = []
     size = 0
     for i, text in enumerate(texts):
         text = text or ""
-        for start in range(0, max(1, len(text) - overlap), most) if len(text) > most else (0,):
-            part = text[start : start + most + overlap] if len(text) > most else text
-            if parts and size + len(part) > most:
-                yield at, parts
-                at, parts, size = [], [], 0
-            at.append(i)
-            parts.append(part)
-            size += len(part)
+        if parts and size + len(text) > (most or PIECE):
+            yield at, parts
+            at, parts, size = [], [], 0
+        at.append(i)
+        parts.append(text)
+        size += len(text)
     if parts:
         yield at, parts
 

@@ -9,15 +9,15 @@ so the count is corrected as (hits - n * f**HASHES) / (1 - f**HASHES). The large
 the score is its share of all languages' counts.
 
 Profiles are learnt from a sample of at most about ``SAMPLE`` documents a language, chosen by a hash
-of the id, among those that :func:`common.held_out` leaves for learning. A language has an n-gram
+of id and text, among those that :func:`common.held_out` leaves for learning; rows that repeat come once. A language has an n-gram
 if it occurs ``LEAST`` times or more in its sample, at ``SHARE`` or more of the highest rate that
 any language has; that keeps foreign passages out of profiles.
 Every language is learnt, however many there are.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0. Letters but no known
 n-gram: the most frequent language, score 0. Nothing to learn from: all ``und``. Null or repeated
-ids are predicted each for itself. An empty table gives an empty result. Long texts are read whole,
-in pieces. Columns other than doc_id, text and lang are not read, whatever their names.
+ids are predicted each for itself. An empty table gives an empty result. Long texts are read whole, in pieces that
+change no n-gram. Columns other than doc_id, text and lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.shipping import map_in_arrow
 from stemma.llm import codepoints
-from stemma.llm.common import held_out, table
+from stemma.llm.common import held_out, materialize, table
 
 SAMPLE = 2000
 LEAST = 3
@@ -47,18 +47,22 @@ KNOWN = 0.2
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
-def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each n-gram, number of the part that it is in, letters per part)."""
-    cp, starts = codepoints.points([p.lower() for p in parts])
+def grams(parts: list[str], low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each n-gram, number of the part that it is in, letters per part) of lower-case texts.
+
+    Of a single part, n-grams whose second character, and letters, that lie from ``low`` up to ``high``.
+    """
+    cp, starts = codepoints.points(parts)
     letter = codepoints.letters()[cp]
     c = np.where(letter, cp, 32).astype(np.uint64)
     part = np.repeat(np.arange(len(parts)), np.diff(starts))
-    n_letters = np.bincount(part[letter], minlength=len(parts))
-    if len(c) < 4:
+    n_letters = np.bincount(part[low:high][letter[low:high]], minlength=len(parts))
+    if len(c) < 3:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), n_letters
     padded = np.concatenate([[np.uint64(32)], c])  # the first word's edge
-    mid = np.concatenate([[False], letter])
-    at = np.flatnonzero(mid[1:-2] & mid[2:-1])  # windows whose inner two are letters
+    at = np.flatnonzero(letter[:-2] & letter[1:-1])  # windows whose inner two are letters, by the first of these
+    if low or high is not None:
+        at = at[(at >= low) & (at < (len(c) if high is None else high))]
     h = padded[at]
     for k in (1, 2, 3):
         h = h * np.uint64(0x100000001B3) + padded[at + k] * np.uint64(0x9E3779B1)
@@ -66,6 +70,23 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, part[at], n_letters
 
 
+def runs(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, hashes, part of each, letters per part) of all texts.
+
+    A text longer than a piece is cut, each piece with the characters around it that its n-grams reach; so the n-grams are
+    those of the whole text.
+    """
+    for at, parts in codepoints.chunks([(t or "").lower() for t in texts]):
+        if len(parts) > 1 or len(parts[0]) <= codepoints.PIECE:
+            yield (at, *grams(parts))
+            continue
+        text, size = parts[0], codepoints.PIECE
+        for start in range(0, len(text), size):
+            lead = min(start, 1)
+            end = min(len(text), start + size)
+            yield (at, *grams([text[start - lead : end + 2]], lead, lead + end - start))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -95,16 +116,15 @@ class Model:
         hits = np.zeros((len(texts), len(self.languages)))
         n, n_letters = np.zeros(len(texts)), np.zeros(len(texts))
         kind = self.cells.dtype.type
-        for at, parts in codepoints.chunks(texts, overlap=3):
-            h, part, letters = grams(parts)
+        for at, h, part, letters in runs(texts):
             places = [self.places(h, k, self.bits) for k in range(HASHES)]
-            np.add.at(n, at, np.bincount(part, minlength=len(parts)))
+            np.add.at(n, at, np.bincount(part, minlength=len(at)))
             np.add.at(n_letters, at, letters)
             for i in range(len(self.languages)):
                 if i % WORD == 0:
                     mask = np.bitwise_and.reduce([self.cells[:, i // WORD][p] for p in places])
                 found = part[(mask & kind(1 << i % WORD)) != 0]
-                np.add.at(hits[:, i], at, np.bincount(found, minlength=len(parts)))
+                np.add.at(hits[:, i], at, np.bincount(found, minlength=len(at)))
         fixed = (hits - n[:, None] * self.false_rate) / (1 - self.false_rate)
         return np.clip(fixed, 0, None), n, n_letters
 
@@ -122,37 +142,58 @@ class Model:
         return names, np.where(blank, 0.0, score), np.where(blank, 0.0, known)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the text and lang of the documents that aren't held out."""
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of about ``sample`` different documents a language at most; all languages, the most frequent first.
+
+    Rows are chosen by a hash of id and text, so neither null nor repeated ids bring in more, and repeated rows come once.
+    """
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    languages = [r["lang"] for r in counted]
-    if not languages:
-        return Model([], np.zeros(1, np.uint8), 0, np.zeros(0))
+    if not counted:
+        return usable.select("lang", "text"), []
     # the least 2**-20 parts of the hash, by language: about ``sample`` documents of each
     limit = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1 << 20, (sample << 20) // r["count"] + 1))])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit[F.col("lang")])
+    h = F.xxhash64("doc_id", "text")
+    chosen = usable.withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < limit[F.col("lang")])
+    return chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text"), [r["lang"] for r in counted]
+
+
+def profiles(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """Sorted hashes of the n-grams of each language, the most frequent first; only they reach the driver."""
+    chosen, languages = sampled(docs, sample)
+    if not languages:
+        return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in sorted(set(names)):
-                own = [t for n, t in zip(names, texts, strict=True) if n == lang]
-                for _, parts in codepoints.chunks(own, overlap=3):
-                    h, n = np.unique(grams(parts)[0], return_counts=True)
+                for _, h, _, _ in runs([t for n, t in zip(names, texts, strict=True) if n == lang]):
+                    h, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())],
                         names=["lang", "gram", "n"],
                     )
 
-    rows = chosen.select("lang", "text").transform(map_in_arrow, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()  # as many n-grams as the sample has: bounded by ``sample`` documents a language
-    total = got.groupby("lang")["n"].transform("sum")
-    got["rate"] = got["n"] / total
-    got = got[(got["n"] >= LEAST) & (got["rate"] >= SHARE * got.groupby("gram")["rate"].transform("max"))]
-    own = {name: np.sort(x.to_numpy()).view(np.uint64) for name, x in got.groupby("lang")["gram"]}
-    profiles = [own.get(name, np.zeros(0, np.uint64)) for name in languages]
-    return Model.build(languages, profiles)
+    counts = chosen.transform(map_in_arrow, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "grams")
+    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
+    if not totals:
+        return {lang: np.zeros(0, np.uint64) for lang in languages}
+    total = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])
+    rated = counts.withColumn("rate", F.col("n") / total[F.col("lang")])
+    top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("own"))  # a row a language at most
+    got = top.select("gram", "top", F.inline("own")).where((F.col("n") >= LEAST) & (F.col("rate") >= SHARE * F.col("top"))).select("lang", "gram").toPandas()
+    own = {name: np.sort(x.to_numpy().view(np.uint64)) for name, x in got.groupby("lang")["gram"]}
+    return {lang: own.get(lang, np.zeros(0, np.uint64)) for lang in languages}
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from the text and lang of the documents that aren't held out."""
+    own = profiles(docs, sample)
+    if not own:
+        return Model([], np.zeros(1, np.uint8), 0, np.zeros(0))
+    return Model.build(list(own), list(own.values()))
 
 
 def predictions(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -151,16 +151,77 @@ def test_more_languages_than_bits_in_a_word(spark):
     assert names == [r[2] for r in rows] and share.min() > language_id.KNOWN
 
 
-def test_language_of_long_texts_is_that_of_the_whole(monkeypatch):
-    text = "the tion ing and " * 500
-    m = language_id.Model.build(["x", "y"], [np.unique(language_id.grams([text])[0]), np.unique(language_id.grams(["sch der ung"])[0])])
-    whole = m.counts([text])
-    monkeypatch.setattr(codepoints, "PIECE", 1000)
-    parts = list(codepoints.chunks([text], 3, 1000))
-    assert len(parts) > 5
-    extra = sum(len(language_id.grams(p)[0]) for _, p in parts) - len(language_id.grams([text])[0])
-    assert 0 <= extra <= 2 * len(parts)  # a cut inside a word looks like a word's edge
-    assert whole[0].argmax() == 0
+def plain_grams(text):
+    """Runs of four of a lower-cased text whose inner two are letters, others than letters as blanks."""
+    c = "".join(x if x.isalpha() else " " for x in f" {text.lower()}\n")
+    return [c[i : i + 4] for i in range(len(c) - 3) if c[i + 1 : i + 3].isalpha()]
+
+
+def plain_hash(gram):
+    """The hash of a run, in whole numbers."""
+    mask = (1 << 64) - 1
+    h = ord(gram[0])
+    for x in gram[1:]:
+        h = (h * 0x100000001B3 + ord(x) * 0x9E3779B1) & mask
+    return h ^ h >> 29
+
+
+TEXTS = ["The tion ing and", "Straße. ÉTÉ ΣΑΣ ab İx", "", "a b c d", "x1y2 zz-top 日本語テキスト", "abc" * 40 + " " + "de fg " * 30, None]
+
+
+def test_grams_by_brute_force(monkeypatch):
+    for piece in (codepoints.PIECE, 50, 7):
+        monkeypatch.setattr(codepoints, "PIECE", piece)
+        got, letters = {i: Counter() for i in range(len(TEXTS))}, Counter()
+        for at, h, part, n in language_id.runs(TEXTS):
+            for x, p in zip(h.tolist(), part.tolist(), strict=True):
+                got[at[p]][x] += 1
+            letters.update(dict(zip(at, n.tolist(), strict=True)) if len(set(at)) == len(at) else {at[0]: int(n.sum())})
+        for i, t in enumerate(TEXTS):
+            assert got[i] == Counter(map(plain_hash, plain_grams(t or ""))), (piece, t)
+            assert letters[i] == sum(c.isalpha() for c in (t or "").lower())
+
+
+def test_language_counts_by_brute_force(monkeypatch):
+    """Bit-sliced filters against sets: no hit is missed, and counts are those of a plain Bloom filter, corrected."""
+    profiles = [{"the ", " the", "tion", " and"}, {"sch ", " der", "tion", "traß"}, set()]
+    model = language_id.Model.build(list("abc"), [np.array(sorted(map(plain_hash, p)), np.uint64) for p in profiles])
+    spots = lambda g: [(plain_hash(g) * m & (1 << 64) - 1) >> 64 - model.bits for m in language_id._MIX]
+    filled = [{s for g in p for s in spots(g)} for p in profiles]
+    for piece in (codepoints.PIECE, 9):
+        monkeypatch.setattr(codepoints, "PIECE", piece)
+        counts, n, _ = model.counts(TEXTS)
+        for i, t in enumerate(TEXTS):
+            own = plain_grams(t or "")
+            assert n[i] == len(own)
+            for k, cells in enumerate(filled):
+                hits = sum(all(s in cells for s in spots(g)) for g in own)
+                assert hits >= sum(g in profiles[k] for g in own)
+                rate = (len(cells) / (1 << model.bits)) ** language_id.HASHES
+                assert counts[i, k] == pytest.approx(max(0, (hits - len(own) * rate) / (1 - rate)))
+
+
+def test_language_profiles_by_brute_force(spark):
+    rnd = random.Random(3)
+    text = lambda a: " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(2, 7))) for _ in range(30))
+    rows = [(i, text("abcd" if i % 2 else "cdef"), "xy"[i % 2]) for i in range(90)]
+    own = {lang: Counter(g for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 3 != 1 for g in plain_grams(t)) for lang in "xy"}
+    total = {lang: c.total() for lang, c in own.items()}
+    want = {
+        lang: {plain_hash(g) for g, n in c.items() if n >= language_id.LEAST and n / total[lang] >= language_id.SHARE * max(own[k][g] / total[k] for k in "xy")}
+        for lang, c in own.items()
+    }
+    got = language_id.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang: set(p.tolist()) for lang, p in got.items()} == want
+
+
+def test_language_sample_of_null_and_repeated_ids_is_bounded(spark):
+    """Rows without an id, and rows that repeat, don't all get into the sample."""
+    rows = [(None if i % 2 else 5, f"word{i} and {i}", "a") for i in range(30_000)] + [(5, "the same text", "a")] * 30_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    chosen, _ = language_id.sampled(df, 300)
+    n = chosen.count()
+    assert 50 < n < 600 and chosen.where("text = 'the same text'").count() <= 1
 
 
 def test_false_positives_are_corrected():
@@ -684,13 +745,38 @@ def test_packing(docs, none):
     assert packing.apply(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [16, 60])
+def test_places_by_plain_minimisation(length):
+    """Each piece goes where the sum of squared counts of open sequences per gap becomes smallest: the smallest gap of equals, a new one last."""
+    r = np.random.default_rng(length)
+    bins, load = packing.SumOfSquares(length), []
+    for size in r.integers(1, length + 1, 400).tolist():
+        counts = Counter(length - x for x in load if x < length)
+
+        def after(gap, size=size, counts=counts):
+            c = counts.copy()
+            c[gap] -= gap < length
+            c[gap - size] += gap > size
+            return sum(n * n for n in c.values())
+
+        best = min([g for g in counts if g >= size] + [length], key=lambda g: (after(g), g == length, g))
+        where = bins.place(size)
+        assert best == (length if where == len(load) else length - load[where])
+        load += [0] * (where == len(load))
+        load[where] += size
+
+
 def test_pack_is_tight():
     r = np.random.default_rng(0)
     sizes = np.sort(r.integers(1, 1025, 3000))[::-1]
     at = packing.pack(sizes)
     load = np.bincount(at, weights=sizes)
     assert load.max() <= 1024 and (load > 0).all()
-    assert len(load) <= 1.02 * sizes.sum() / 1024 + 5
+    assert len(load) <= 1.05 * sizes.sum() / 1024  # even lengths up to the sequence's: the hardest
+    usual = np.sort(np.clip(r.lognormal(5.5, 1, 20_000).astype(int), 1, 1024))[::-1]
+    assert packing.pack(usual).max() + 1 <= 1.002 * usual.sum() / 1024
+    short = np.sort(r.integers(1, 400, 20_000))[::-1]
+    assert packing.pack(short).max() + 1 <= 1.002 * short.sum() / 1024
     assert packing.pack(np.zeros(0, np.int64)).tolist() == []
 
 
