@@ -5,9 +5,12 @@ turned onto principal axes (any rotation gives right results; a good one skips m
 their grid cells of side EPS on the ``GRID`` leading axes, then by the coordinates themselves. The
 order is cut into intervals of about ``BLOCK`` vectors at bounds taken from a sample. Two intervals
 whose boxes on the ``BOX`` leading axes lie further apart than EPS cannot hold a link; a recursion
-over runs of intervals skips such pairs, large runs first. Every pair left is one task: it goes on with
-the same recursion inside the two sequences, and compares runs of ``LEAF`` vectors by one matrix
-product in double precision of the vectors as given.
+over runs of intervals skips such pairs, large runs first. Every pair left is compared: the
+same recursion goes on inside the two sequences, where runs are also skipped if the balls around their
+means lie further apart than EPS, and compares runs of ``LEAF`` vectors by one matrix product in double
+precision of the vectors as given, scaled by powers of two so that neither large nor small components overflow. Intervals of more than
+``BLOCK`` vectors are dealt into parts of about that many, each pair of parts a group of its own, so a
+task's memory doesn't grow with the data.
 
 Equal vectors are one class with a count, so copies cost nothing and never meet in a task. A task
 hands on each vector's number of links and a spanning forest of links, never pairs. Where vectors
@@ -37,11 +40,10 @@ from stemma.llm.common import materialize, table
 COSINE = 0.9
 #: Largest distance at unit length, and room for rounding.
 EPS = float(np.sqrt(2 - 2 * COSINE)) + 1e-6
-GRID, BOX = 4, 16
+GRID, BOX = 8, 16
 #: Vectors in an interval (of few vectors, a ``LEAST``-th of them) and in a matrix product.
-BLOCK, LEAST, LEAF = 8192, 16, 512
-#: Intervals at most: their boxes and the pairs of them that are left are the driver's. Beyond
-#: ``MOST * BLOCK`` vectors the intervals grow instead.
+BLOCK, LEAST, LEAF = 8192, 16, 256
+#: Intervals at most: their bounds and boxes are the driver's. Of more than ``MOST * BLOCK`` vectors the intervals come in parts.
 MOST = 2048
 SAMPLE = 16_384
 
@@ -56,10 +58,14 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that their largest components lie in [0.5, 1); cosines stay the same to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def turned(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """Coordinates of unit vectors on the principal axes."""
-    top = np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.where(top > 0, top, 1)
+    x = scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
 
 
@@ -106,9 +112,31 @@ class Boxes:
         return float(gap @ gap) > EPS * EPS
 
 
-def joined(x: Boxes, y: Boxes, leaf: int, same: bool) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
-    """Pairs of runs of at most ``leaf`` that may hold links; of a sequence with itself each once."""
-    todo = [((0, len(x.lows)), (0, len(y.lows)))]
+class Balls(Boxes):
+    """Boxes on the leading axes, and balls in all axes, of runs of points."""
+
+    def __init__(self, points: np.ndarray):
+        super().__init__(points[:, :BOX], points[:, :BOX])
+        self.points = points
+        self.balls: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
+
+    def ball(self, i: int, j: int) -> tuple[np.ndarray, float]:
+        if (i, j) not in self.balls:
+            own = self.points[i:j]
+            centre = own.mean(axis=0)
+            self.balls[i, j] = centre, float(np.sqrt(((own - centre) ** 2).sum(axis=1).max()))
+        return self.balls[i, j]
+
+    def apart(self, a: tuple[int, int], other: Balls, b: tuple[int, int]) -> bool:
+        if super().apart(a, other, b):
+            return True
+        (c, r), (d, q) = self.ball(*a), other.ball(*b)
+        return float(np.linalg.norm(c - d)) - r - q > EPS
+
+
+def joined(x: Boxes, y: Boxes, leaf: int, same: bool, first: tuple[int, int] | None = None) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+    """Pairs of runs of at most ``leaf`` that may hold links; of a sequence with itself each once. ``first``: only pairs of that run of ``x``."""
+    todo = [(first or (0, len(x.lows)), (0, len(y.lows)))]
     while todo:
         a, b = todo.pop()
         if a[0] == a[1] or b[0] == b[1] or same and a[0] >= b[1] or x.apart(a, y, b):
@@ -127,11 +155,12 @@ def joined(x: Boxes, y: Boxes, leaf: int, same: bool) -> Iterator[tuple[tuple[in
 def compare(x: np.ndarray, px: np.ndarray, mx: np.ndarray, y: np.ndarray, py: np.ndarray, my: np.ndarray, same: bool):
     """(links of each x, links of each y, label of all of x then y) for vectors in grid order."""
     n, m = len(x), len(y)
+    x, y = scaled(x), scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     cx, cy = np.zeros(n, np.int64), np.zeros(m, np.int64)
     label = np.arange(n + m)
-    bx = Boxes(px[:, :BOX], px[:, :BOX])
-    by = bx if same else Boxes(py[:, :BOX], py[:, :BOX])
+    bx = Balls(px)
+    by = bx if same else Balls(py)
     for (i, j), (k, l) in joined(bx, by, LEAF, same):
         cos = (x[i:j] @ y[k:l].T) / (nx[i:j, None] * ny[None, k:l])
         near = cos >= COSINE
@@ -148,15 +177,16 @@ def compare(x: np.ndarray, px: np.ndarray, mx: np.ndarray, y: np.ndarray, py: np
     return cx, cy, label
 
 
-def _task(t: pa.Table, axes: np.ndarray) -> pa.Table:
-    """Links of one pair of intervals."""
+def _task(t: pa.Table, axes: np.ndarray, same: bool) -> pa.Table:
+    """Links of one pair of intervals' parts."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
     vec = matrix(t["vec"].combine_chunks(), len(axes))
     p = turned(vec, axes)
     node, h, count, side = (t[c].to_numpy() for c in ("node", "h", "copies", "side"))
     order = [np.flatnonzero(side == s) for s in (0, 1)]
     order = [o[sort(np.concatenate([order_keys(p[o]), node[o][:, None].astype(float)], axis=1))] for o in order]
-    same = not len(order[1])
+    if not same and not (len(order[0]) and len(order[1])):
+        return out.empty_table()
     x, y = order[0], order[0] if same else order[1]
     cx, cy, label = compare(vec[x], p[x], count[x], vec[y], p[y], count[y], same)
     rows = x if same else np.concatenate([x, y])
@@ -202,31 +232,49 @@ def links(own: DataFrame, width: int) -> DataFrame:
     placed = materialize(placed, "intervals")
     axis = lambda k: F.element_at("turned", k + 1)
     edge = [f(axis(k)).alias(f"{n}{k}") for n, f in (("l", F.min), ("h", F.max)) for k in range(box)]
-    found = placed.groupBy("block").agg(*edge).orderBy("block").collect()  # MOST rows at most
+    found = placed.groupBy("block").agg(F.count("*").alias("n"), *edge).orderBy("block").collect()  # MOST rows at most
     if not found:
         return spark.createDataFrame([], "a long, b long, h long, n long")
-    names = [r["block"] for r in found]
+    names = np.array([r["block"] for r in found])
+    parts = np.array([-(-r["n"] // BLOCK) for r in found])
     lows, highs = (np.array([[r[f"{n}{k}"] for k in range(box)] for r in found]) for n in "lh")
-    partners: dict[int, list[tuple[int, int]]] = {}
-    boxes = Boxes(lows, highs)
-    for pair, ((i, _), (j, _)) in enumerate(joined(boxes, boxes, 1, True)):
-        partners.setdefault(names[i], []).append((pair, 0))
-        if i != j:
-            partners.setdefault(names[j], []).append((pair, 1))
-    to = spark.sparkContext.broadcast(partners)  # MOST**2 pairs of numbers at most
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sides = spark.sparkContext.broadcast((names, parts, lows, highs))
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both sides of all pairs of intervals that may hold links: an interval with those from it on."""
+        names, parts, lows, highs = sides.value
+        boxes = Boxes(lows, highs)
         for b in batches:
-            block = b.column(4).to_numpy()
-            for k in np.unique(block).tolist():
-                mine = b.filter(pa.array(block == k))
-                for pair, side in to.value.get(k, ()):
-                    n = mine.num_rows
-                    cols = [pa.array(np.full(n, pair)), pa.array(np.full(n, side)), *mine.columns[:4]]
-                    yield pa.RecordBatch.from_arrays(cols, names=["pair", "side", "node", "h", "copies", "vec"])
-
-    sent = placed.transform(map_in_arrow, send, f"pair long, side long, node long, h long, copies long, vec {kind}")
-    return sent.groupBy("pair").applyInArrow(lambda t: _task(t, at.value[0]), "a long, b long, h long, n long")
+            for i in b.column(0).to_pylist():
+                rest = Boxes(lows[i:], highs[i:])
+                got = np.array([q[0] + i for _, q in joined(boxes, rest, 1, False, (i, i + 1))], np.int64)
+                if not len(got):
+                    continue
+                one = lambda k, size: pa.array(np.full(size, k, np.int64))
+                apart = got[got != i]
+                cols = [one(names[i], len(got)), one(0, len(got)), one(i, len(got)), pa.array(got), one(parts[i], len(got)), pa.array(parts[got])]
+                yield pa.RecordBatch.from_arrays(cols, names=_SIDE)
+                cols = [pa.array(names[apart]), one(1, len(apart)), one(i, len(apart)), pa.array(apart), pa.array(parts[apart]), one(parts[i], len(apart))]
+                yield pa.RecordBatch.from_arrays(cols, names=_SIDE)
+
+    pairs = spark.range(0, len(names)).transform(map_in_arrow, partners, ", ".join(f"{c} long" for c in _SIDE)).withColumnRenamed("block", "p_block")
+    sent = placed.drop("turned").join(pairs, F.col("block") == F.col("p_block")).withColumn("part", F.pmod(F.xxhash64("h", "node"), F.col("own")))
+    # a part meets all parts of the other interval, or those of its own each once
+    sent = sent.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("a") == F.col("b"), F.col("own")).otherwise(F.col("other")).cast("int") - 1)))
+    swap = F.when(F.col("a") == F.col("b"), F.col("part") > F.col("with")).otherwise(F.col("side") == 1)
+    sent = sent.select(
+        "a", "b", F.when(swap, F.col("with")).otherwise(F.col("part")).cast("long").alias("i"), F.when(swap, F.col("part")).otherwise(F.col("with")).cast("long").alias("j"),
+        swap.cast("long").alias("side"), "node", "h", "copies", "vec",
+    )
+
+    def task(key: tuple, t: pa.Table) -> pa.Table:
+        a, b, i, j = (k.as_py() for k in key)
+        return _task(t, at.value[0], (a, i) == (b, j))
+
+    return sent.groupBy("a", "b", "i", "j").applyInArrow(task, "a long, b long, h long, n long")
+
+
+_SIDE = ["block", "side", "a", "b", "own", "other"]
 
 
 def apply(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

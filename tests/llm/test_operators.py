@@ -281,6 +281,42 @@ def test_embeddings(spark):
     assert {(x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_dedup.apply(lone).collect()} == {(None, 0, None, False), (4, 0, 4, True)}
 
 
+def test_embeddings_in_parts(spark, monkeypatch):
+    """Intervals that are too long for a task come in parts, and lose no link."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embedding_dedup, "MOST", 3)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(25, 12))
+    vecs = (centres[r.integers(0, 25, 500)] + r.normal(size=(500, 12)) * 0.35).tolist()
+    got = {x.vec_id: x for x in embedding_dedup.apply(spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")).collect()}
+    adj = brute_links(vecs)
+    comp = closure(adj, list(range(500)))
+    assert sum(map(len, adj)) > 500
+    assert all((got[i].n_links, got[i].component_id) == (len(adj[i]), comp[i]) for i in range(500))
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-310])
+def test_embeddings_of_any_size(spark, size):
+    rows = [(1, [size, 2 * size]), (2, [1.0, 2.01]), (3, [-size, size]), (4, [-2.0, 2.1])]
+    got = embedding_dedup.apply(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x.vec_id: (x.n_links, x.component_id) for x in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}
+
+
+def test_balls_skip_and_lose_nothing():
+    r = np.random.default_rng(2)
+    c = r.normal(size=(20, 32))
+    x = np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 16, axis=0) + r.normal(size=(320, 32)) * 0.02
+    p = embedding_dedup.turned(x, np.eye(32))
+    p = p[embedding_dedup.sort(embedding_dedup.order_keys(p))]
+    balls = embedding_dedup.Balls(p)
+    pairs = list(embedding_dedup.joined(balls, balls, 16, True))
+    assert len(pairs) < 100  # of 210
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    for i, j in np.argwhere(np.triu(d <= embedding_dedup.EPS, 1)):
+        assert any(a[0] <= i < a[1] and b[0] <= j < b[1] for a, b in pairs)
+
+
 def test_grid_order_skips_and_loses_nothing():
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(size=(40, 8)) * 0.05 + c for c in np.eye(8) * 3])
