@@ -6,8 +6,7 @@ their grid cells of side EPS on the ``GRID`` leading axes, then by the coordinat
 order is cut into intervals of about ``BLOCK`` vectors at bounds taken from a sample. Two intervals
 whose boxes on the ``BOX`` leading axes lie further apart than EPS cannot hold a link; a recursion
 over runs of intervals skips such pairs, large runs first. Every pair left is compared: the
-same recursion goes on inside the two sequences, where runs are also skipped if the balls around their
-means lie further apart than EPS, and compares runs of ``LEAF`` vectors by one matrix product in double
+same recursion goes on inside the two sequences, and compares runs of ``LEAF`` vectors by one matrix product in double
 precision of the vectors as given, scaled by powers of two so that neither large nor small components overflow. Intervals of more than
 ``BLOCK`` vectors are dealt into parts of about that many, each pair of parts a group of its own, so a
 task's memory doesn't grow with the data.
@@ -112,28 +111,6 @@ class Boxes:
         return float(gap @ gap) > EPS * EPS
 
 
-class Balls(Boxes):
-    """Boxes on the leading axes, and balls in all axes, of runs of points."""
-
-    def __init__(self, points: np.ndarray):
-        super().__init__(points[:, :BOX], points[:, :BOX])
-        self.points = points
-        self.balls: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
-
-    def ball(self, i: int, j: int) -> tuple[np.ndarray, float]:
-        if (i, j) not in self.balls:
-            own = self.points[i:j]
-            centre = own.mean(axis=0)
-            self.balls[i, j] = centre, float(np.sqrt(((own - centre) ** 2).sum(axis=1).max()))
-        return self.balls[i, j]
-
-    def apart(self, a: tuple[int, int], other: Balls, b: tuple[int, int]) -> bool:
-        if super().apart(a, other, b):
-            return True
-        (c, r), (d, q) = self.ball(*a), other.ball(*b)
-        return float(np.linalg.norm(c - d)) - r - q > EPS
-
-
 def joined(x: Boxes, y: Boxes, leaf: int, same: bool, first: tuple[int, int] | None = None) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
     """Pairs of runs of at most ``leaf`` that may hold links; of a sequence with itself each once. ``first``: only pairs of that run of ``x``."""
     todo = [(first or (0, len(x.lows)), (0, len(y.lows)))]
@@ -159,8 +136,8 @@ def compare(x: np.ndarray, px: np.ndarray, mx: np.ndarray, y: np.ndarray, py: np
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     cx, cy = np.zeros(n, np.int64), np.zeros(m, np.int64)
     label = np.arange(n + m)
-    bx = Balls(px)
-    by = bx if same else Balls(py)
+    bx = Boxes(px[:, :BOX], px[:, :BOX])
+    by = bx if same else Boxes(py[:, :BOX], py[:, :BOX])
     for (i, j), (k, l) in joined(bx, by, LEAF, same):
         cos = (x[i:j] @ y[k:l].T) / (nx[i:j, None] * ny[None, k:l])
         near = cos >= COSINE

@@ -303,20 +303,6 @@ def test_embeddings_of_any_size(spark, size):
     assert {x.vec_id: (x.n_links, x.component_id) for x in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}
 
 
-def test_balls_skip_and_lose_nothing():
-    r = np.random.default_rng(2)
-    c = r.normal(size=(20, 32))
-    x = np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 16, axis=0) + r.normal(size=(320, 32)) * 0.02
-    p = embedding_dedup.turned(x, np.eye(32))
-    p = p[embedding_dedup.sort(embedding_dedup.order_keys(p))]
-    balls = embedding_dedup.Balls(p)
-    pairs = list(embedding_dedup.joined(balls, balls, 16, True))
-    assert len(pairs) < 100  # of 210
-    d = np.linalg.norm(p[:, None] - p[None], axis=2)
-    for i, j in np.argwhere(np.triu(d <= embedding_dedup.EPS, 1)):
-        assert any(a[0] <= i < a[1] and b[0] <= j < b[1] for a, b in pairs)
-
-
 def test_grid_order_skips_and_loses_nothing():
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(size=(40, 8)) * 0.05 + c for c in np.eye(8) * 3])
