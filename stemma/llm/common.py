@@ -22,10 +22,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a temporary folder is made and named.
+    Only where the setting is absent and all runs in one process, as in local tests, a temporary folder is made and named.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="stemma-")
         atexit.register(shutil.rmtree, named, True)
         spark.sparkContext.setCheckpointDir(named)

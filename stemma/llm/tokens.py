@@ -14,6 +14,7 @@ Special tokens' strings in a text are ordinary text. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -57,6 +58,26 @@ def load(path: str):
     return made
 
 
+def plain_byte_level(made: dict) -> bool:
+    """Whether a tokenizer file's content is a byte-level BPE that :class:`Pieces` may split by itself.
+
+    That is, its pre-tokenizer is the byte-level split without a prefix blank, nothing normalises or matches before it, and merges are
+    the same every time.
+    """
+    split, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    return (
+        made.get("normalizer") is None
+        and split.get("type") == "ByteLevel"
+        and split.get("add_prefix_space") is False
+        and split.get("use_regex", True) is True
+        and all(t.get("special") for t in made.get("added_tokens") or ())
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not model.get("continuing_subword_prefix")
+        and not model.get("end_of_word_suffix")
+    )
+
+
 class Pieces(dict):
     """Ids by pre-token, each encoded once by the tokenizers library and then looked up.
 
@@ -75,7 +96,7 @@ class Pieces(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tok = load(path)
-        self.splits = '"ByteLevel"' in self.tok.pre_tokenizer.__getstate__().decode() and self.tok.normalizer is None
+        self.splits = plain_byte_level(json.loads(self.tok.to_str()))
 
     def __missing__(self, piece: str) -> bytes:
         ids = self[piece] = array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -144,32 +165,60 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     return docs.select("doc_id", "text").transform(map_in_arrow, run, "doc_id long, n_tokens long, tokens array<int>")
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, name: str = "tokens") -> DataFrame:
-    """Write all token lists in ascending doc_id order to the shared folder; a DataFrame over the files.
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+    """Write all token lists in ascending doc_id order to ``path``; a DataFrame over the files.
 
+    Without a path they go to the shared folder and are removed when the Python process ends.
     The only shuffle is the range partitioning of the texts, so encoding is spread by text volume
-    and runs once; its sampling reads the id column alone.
+    and runs once. Ranges are of id and text hash, so null or repeated ids don't meet in one task.
     """
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = (
         docs.select("doc_id", "text")
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
-    return materialize(
-        encoded(ordered, tokenizer or default_tokenizer(), end_id),
-        name,
-        **{
-            "compression": "zstd",
-            "parquet.writer.version": "PARQUET_2_0",
-            "parquet.block.size": str(ROW_GROUP_BYTES),
-            "parquet.page.size": str(PAGE_BYTES),
-            "parquet.page.row.count.limit": str(PAGE_ROWS),
-            "parquet.enable.dictionary": "true",
-            "parquet.enable.dictionary#doc_id": "false",
-            "parquet.enable.dictionary#n_tokens": "false",
-        },
-    )
+    lists = encoded(ordered, tokenizer or default_tokenizer(), end_id)
+    options = {
+        "compression": "zstd",
+        "parquet.writer.version": "PARQUET_2_0",
+        "parquet.block.size": str(ROW_GROUP_BYTES),
+        "parquet.page.size": str(PAGE_BYTES),
+        "parquet.page.row.count.limit": str(PAGE_ROWS),
+        "parquet.enable.dictionary": "true",
+        "parquet.enable.dictionary#doc_id": "false",
+        "parquet.enable.dictionary#n_tokens": "false",
+    }
+    if path is None:
+        return materialize(lists, "tokens", **options)
+    lists.write.options(**options).parquet(path)
+    return read(docs.sparkSession, path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, n_tokens, tokens) of files that :func:`write` made."""
+    return spark.read.schema("doc_id long, n_tokens long, tokens array<int>").parquet(path)
+
+
+def select(files: DataFrame, ids: list[int] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Rows of the given ids, or of the ids from ``low`` up to ``high``.
+
+    The filter is on the column that the files are sorted by and reaches the scan: files and row groups without such ids are skipped by
+    their statistics, pages by the column index.
+    """
+    out = files
+    if ids is not None:
+        out = out.where(F.col("doc_id").isin([int(i) for i in ids]))
+    if low is not None:
+        out = out.where(F.col("doc_id") >= int(low))
+    if high is not None:
+        out = out.where(F.col("doc_id") < int(high))
+    return out
+
+
+def counts(files: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens): no token page is read."""
+    return files.select("doc_id", "n_tokens")
 
 
 def starts(files: DataFrame, value: str = "n_tokens") -> DataFrame:

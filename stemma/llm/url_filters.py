@@ -8,7 +8,7 @@ soft terms, block the URL.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, so no rule fits; the
 vocabulary still sees its text (null: allow). Upper case A-Z counts as lower case. Repeated rows
-are judged alike. An empty table gives an empty result. Other columns are not read.
+are judged alike. An empty table gives an empty result, an empty vocabulary no hits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ SOFT = (
     "win", "winner", "x",
 )
 SOFT_HITS = 2
+#: Terms of a vocabulary at most: every Python worker holds them all (some 200 bytes a term).
+MOST_TERMS = 2_000_000
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,12 +63,12 @@ def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Au
     return made
 
 
-def hits(url: str | None, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[int, int]:
+def hits(url: str | None, made: ahocorasick.Automaton) -> tuple[int, int]:
     """Distinct strict and distinct soft terms of a lower-cased URL, between boundaries."""
-    if not url:
+    if not url or not len(made):
         return 0, 0
     found: tuple[set[str], set[str]] = (set(), set())
-    for end, (n, term, hard) in _automaton(strict, soft).iter(url):
+    for end, (n, term, hard) in made.iter(url):
         start = end + 1 - n
         if (start == 0 or url[start - 1] not in _WORD) and (end + 1 == len(url) or url[end + 1] not in _WORD):
             found[0 if hard else 1].add(term)
@@ -96,16 +98,41 @@ def best_rule(host: Column, path: Column) -> Column:
     return found
 
 
-def apply(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keep`` columns with host, path, rule, n_strict, n_soft, verdict."""
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table (term, weight): weight ``strict`` or ``soft``; a term with both is strict.
+
+    Terms are lower-cased (A-Z); null and empty ones are left out. More than ``MOST_TERMS`` are refused, as each worker holds them.
+    """
+    used = terms.select(_lower(F.col("term")).alias("term"), "weight").where("length(term) > 0 and weight in ('strict', 'soft')")
+    got = used.groupBy("term").agg(F.max(F.col("weight") == "strict").alias("hard")).limit(MOST_TERMS + 1).collect()
+    if len(got) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return tuple(sorted(r["term"] for r in got if r["hard"])), tuple(sorted(r["term"] for r in got if not r["hard"]))
+
+
+def apply(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), terms: DataFrame | None = None) -> DataFrame:
+    """``keep`` columns with host, path, rule, n_strict, n_soft, verdict.
+
+    ``terms`` is a vocabulary as :func:`vocabulary` takes it, instead of ``STRICT`` and ``SOFT``. A kept column of one of the new names
+    comes out as ``own_`` and that name.
+    """
+    new = {"host", "path", "rule", "n_strict", "n_soft", "verdict"}
+    pages = pages.select(*[F.col(c).alias(f"own_{c}" if c in new else c) for c in keep if c != url], F.col(url).alias("__link"))
+    keep = tuple(f"own_{c}" if c in new else c for c in keep)
+    if url in keep:
+        pages = pages.withColumn(url, F.col("__link"))
+    url = "__link"
+    strict, soft = (STRICT, SOFT) if terms is None else vocabulary(terms)
+    held = pages.sparkSession.sparkContext.broadcast((strict, soft))
     seen = pages.select(*keep, F.struct(F.col(url).alias("url"), _lower(F.col(url)).alias("low")).alias("__u"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
     added = ["__url", "n_strict", "n_soft"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _automaton(*held.value)
         for b in batches:
             raw, low = b.column(b.num_columns - 1).flatten()
-            found = [hits(u) for u in low.to_pylist()]
+            found = [hits(u, made) for u in low.to_pylist()]
             cols = [*b.columns[:-1], raw, *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], *added])
 

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on awkward rows."""
 
+import json
 import random
 import re
 import time
@@ -822,7 +823,7 @@ def test_token_file_layout(spark, docs):
 
     import pyarrow.parquet as pq
 
-    files = tokens.write(docs, name="layout")
+    files = tokens.write(docs)
     path = files.inputFiles()[0].replace("file:", "").rsplit("/", 1)[0]
     meta = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
     cols = {m.row_group(0).column(k).path_in_schema: m.row_group(0).column(k) for m in meta if m.num_row_groups for k in range(m.num_columns)}
@@ -831,6 +832,93 @@ def test_token_file_layout(spark, docs):
     assert any("DICTIONARY" in e for n, c in cols.items() if n.startswith("tokens") for e in c.encodings)
 
 
+def rows_read(df):
+    """Rows that the scans of a query gave, as Spark counted them."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_token_files_are_read_by_part(spark, tmp_path, monkeypatch):
+    """Files kept in a folder; a few ids' rows are found without reading the other pages."""
+    monkeypatch.setattr(tokens, "PAGE_ROWS", 100)
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('Some words of ', id) as text")
+    path = str(tmp_path / "tokens")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        tokens.write(docs, path=path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = tokens.read(spark, path)
+    assert files.count() == 20_000
+    few = tokens.select(files, ids=[7, 12_345, 99_999])
+    assert {r.doc_id: r.tokens for r in few.collect()} == {i: [*ids_of(f"Some words of {i}"), 0] for i in (7, 12_345)}
+    assert rows_read(few) <= 400
+    some = tokens.select(files, low=5_000, high=5_100)
+    assert sorted(r.doc_id for r in some.collect()) == list(range(5_000, 5_100)) and rows_read(some) <= 400
+    numbers = tokens.counts(tokens.select(files, low=19_000))
+    assert numbers.columns == ["doc_id", "n_tokens"] and "tokens" not in numbers._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].replace("n_tokens", "")
+
+
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}, {"normalizer": {"type": "Lowercase"}}, {"added": "Some"}])
+def test_other_tokenizers_encode_as_the_library_does(tmp_path, change):
+    made = json.load(open(tokens.default_tokenizer()))
+    for k, v in change.items():
+        if k == "normalizer":
+            made[k] = v
+        elif k == "added":
+            made["added_tokens"].append({"id": 50_257, "content": v, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+        else:
+            made["pre_tokenizer"][k] = v
+    path = str(tmp_path / "other.json")
+    json.dump(made, open(path, "w"))
+    texts = ["cat, sat (x).", "Some More", "a  b\n"]
+    plain = tokens.load(path)
+    assert [x.tolist() for x in tokens.encode(path, texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not tokens.Pieces(path).splits and tokens.Pieces(tokens.default_tokenizer()).splits
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    """Neither token files nor the mix bring all rows of a null or repeated id into one task."""
+    docs = spark.range(100_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "concat('w', id) as text", "'s' as source")
+    files = tokens.write(docs)
+    sizes = [r[0] for r in files.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 50_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = mixing.apply(docs)
+        per = [r[0] for r in mixed.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(per) == 150_000 and max(per) < 75_000
+
+
+def test_shared_folder_is_named_on_clusters():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
+def test_url_vocabulary(spark):
+    """A vocabulary of 100,000 terms, found between boundaries; kept columns of the same names stay."""
+    terms = spark.range(100_000).selectExpr("concat('Term', id) as term", "if(id % 2 = 0, 'strict', 'soft') as weight")
+    rows = [(1, "http://a.example/term4/x", "k1"), (2, "http://a.example/term5/x", "k2"), (3, "http://a.example/term5-term7", "k3"), (4, "http://a.example/term5/term5", "k4"), (5, "http://a.example/xterm4", "k5"), (6, None, "k6")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string")
+    got = {r.page_id: r for r in url_filters.apply(df, keep=("page_id", "host", "url"), terms=terms).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+    assert (got[3].n_strict, got[3].n_soft, got[3].own_host, got[3].host, got[3].url) == (0, 2, "k3", "a.example", rows[2][1])
+    assert {r.verdict for r in url_filters.apply(df, terms=terms.limit(0)).collect()} == {"allow"}
+
+
 def test_refined_buckets_lose_no_pair(spark):
     """Members of a bucket that differ by 4 bits or fewer share a finer bucket."""
     from pyspark.sql import functions as F
