@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers on other machines."""
+"""Getting work to where it runs: this package's modules to Python workers, rows of small inputs to all cores."""
 
 from __future__ import annotations
 
@@ -29,6 +29,20 @@ def ship(spark: SparkSession) -> None:
     _sent.add(app)
 
 
+#: Bytes per core below which an input counts as small: Spark's own price of opening a file.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is so small that a scan would give most of it to one of them; else as it is.
+
+    For work that costs much more than moving the rows. The size is the plan's estimate; nothing runs for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SMALL else df
+
+
 def map_in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` by a function that may use this package's modules."""
     ship(df.sparkSession)

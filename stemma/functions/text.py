@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 
 def normalize(text: Column, collapse_hyphen: bool = True, keep: str = "+#.") -> Column:
     """Lower case, hyphens, slashes and underscores to blanks, only letters, digits and ``keep``; null is empty."""
-    c = F.lower(F.coalesce(text, F.lit("")))
-    if collapse_hyphen:
-        c = F.regexp_replace(c, "[-/_]+", " ")
-    kept = "".join("\\" + x if x in r"\]^-[&" else x for x in keep)
-    c = F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}\s{kept}]+", " ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    kept = "".join("\\" + x if x in r"\]^-[&" else x for x in keep if not (collapse_hyphen and x in "-/_"))
+    # one pass: runs of white space and of all that isn't kept become one blank
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{N}}{kept}]+", " "))
 
 
 def tokens(text: Column, collapse_hyphen: bool = False) -> Column:
@@ -33,6 +30,27 @@ def normalize_py(text: str | None, collapse_hyphen: bool = True, keep: str = "+#
     return " ".join(c.split())
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def n_tokens(norm: Column) -> Column:
+    """Number of tokens of a normalised text."""
+    return F.when(norm == "", 0).otherwise(F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def spaced(norm: Column) -> Column:
+    """A normalised text with two blanks between tokens and one around, so that occurrences of ``" token "`` don't overlap."""
+    return F.concat(F.lit(" "), F.replace(norm, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def times(wide: Column, token: str) -> Column:
+    """How often a token is in a :func:`spaced` text, by two byte searches."""
+    part = f" {token} "
+    return ((F.octet_length(wide) - F.octet_length(F.replace(wide, F.lit(part), F.lit("")))) / len(part.encode())).cast("int")
+
+
 def query_terms(query: str, collapse_hyphen: bool = False) -> list[str]:
     """Distinct tokens of a query, sorted."""
     keep = "+#." if collapse_hyphen else "+#.-"

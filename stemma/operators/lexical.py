@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stemma.functions import checks, text
+from stemma.functions import checks, shipping, text
+from stemma.sources import tables
 
 K1, B, TOP_K = 1.5, 0.75, 50
 
@@ -38,23 +40,30 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, collapse_hyphen: bool = False) -> DataFrame:
-    """(doc_id string, toks)."""
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), text.tokens(F.col(text_col), collapse_hyphen).alias("toks"))
+def normalized(docs: DataFrame, id_col: str, text_col: str, collapse_hyphen: bool = False) -> DataFrame:
+    """(doc_id string, norm); tokens are the norm's words. Use norm once, or within :func:`text.let`, as plans repeat it otherwise."""
+    norm = text.normalize(F.col(text_col)) if collapse_hyphen else text.normalize(F.col(text_col), False, "+#.-")
+    return shipping.spread(docs.select(id_col, text_col)).select(F.col(id_col).cast("string").alias("doc_id"), norm.alias("norm"))
 
 
 def build_index(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", collapse_hyphen: bool = False,
     min_df: int = 1, max_df_prop: float = 1.0, check: bool = True,
 ) -> Index:
-    """Postings of a whole corpus. Pruned terms leave document lengths and counts as they are."""
+    """Postings of a whole corpus. Pruned terms leave document lengths and counts as they are.
+
+    The corpus is read and tokenised once, into a row of term counts per document in the shared folder, which all four frames read.
+    """
     if check:
         checks.require_unique(docs.select(id_col), id_col)
-    toks = prepared(docs, id_col, text_col, collapse_hyphen)
-    lengths = toks.select("doc_id", F.size("toks").alias("dl"))
-    meta = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    norm = normalized(docs, id_col, text_col, collapse_hyphen)
     # one row holds all of a document's tokens, so its counts need no shuffle
-    runs = toks.select("doc_id", F.explode(_counts(F.col("toks"))).alias("p"))
+    toks = norm.select("doc_id", F.array_remove(F.split("norm", " "), "").alias("toks"))
+    counted = toks.select("doc_id", text.let(F.array_sort("toks"), lambda t: F.struct(F.size(t).alias("dl"), _counts(t).alias("terms"))).alias("c"))
+    forward = tables.once(counted.select("doc_id", "c.dl", "c.terms"), "forward")
+    lengths = forward.select("doc_id", "dl")
+    meta = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    runs = forward.select("doc_id", F.explode("terms").alias("p"))
     postings = runs.select(F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"))
     vocab = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(meta))
     vocab = vocab.where((F.col("df") >= min_df) & (F.col("df") <= max_df_prop * F.col("n")))
@@ -64,9 +73,8 @@ def build_index(
     return Index(lengths, postings, vocab, meta)
 
 
-def _counts(toks: Column) -> Column:
-    """Array of (term, tf) of an array of tokens: sorted, then cut where the term changes."""
-    ordered = F.array_sort(toks)
+def _counts(ordered: Column) -> Column:
+    """Array of (term, tf) of a sorted array of tokens, cut where the term changes; none of an empty one."""
 
     def runs(t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (t[i] != t[F.greatest(i - 1, F.lit(0))]))
@@ -83,7 +91,7 @@ def _counts(toks: Column) -> Column:
             1,
         )
 
-    return F.element_at(F.transform(F.array(ordered), lambda t: F.when(F.size(t) > 0, runs(t))), 1)
+    return F.when(F.size(ordered) > 0, runs(ordered))
 
 
 def _terms(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -96,16 +104,16 @@ def search(
 ) -> DataFrame:
     """BM25 over a corpus as it is: doc_id, score, n_terms, matched_terms; best ``top_k``, ties by id.
 
-    Only the query's terms are counted, inside each row, so no token is shuffled; what is shuffled
-    is a row per document that has a term.
+    Only the query's terms are counted, inside each row, by byte searches; the counts are written once, and statistics and scores both
+    read them. No token is shuffled, only a row per document that has a term.
     """
     terms = text.query_terms(query, collapse_hyphen)
     if not terms:
         raise ValueError("the query has no usable term")
-    toks = prepared(docs, id_col, text_col, collapse_hyphen)
-    times = lambda t: F.size("toks") - F.size(F.array_remove("toks", t))  # noqa: E731  compiled, unlike a lambda over tokens
-    hits = F.array(*[F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in terms])
-    slim = toks.select("doc_id", F.size("toks").alias("dl"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits"))
+    hits = lambda wide: F.array(*[F.struct(F.lit(t).alias("term"), text.times(wide, t).alias("tf")) for t in terms])
+    counted = text.let(F.col("norm"), lambda n: F.struct(text.n_tokens(n).alias("dl"), text.let(text.spaced(n), hits).alias("hits")))
+    slim = normalized(docs, id_col, text_col, collapse_hyphen).select("doc_id", counted.alias("c"))
+    slim = tables.once(slim.select("doc_id", "c.dl", F.filter("c.hits", lambda h: h["tf"] > 0).alias("hits")), "counts")
     stats = slim.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"),
         *[F.sum(F.array_contains(F.col("hits.term"), t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)],
@@ -164,17 +172,31 @@ def search_query_set(index: Index, query_sets: dict, query_set: str, category: s
 def keyword_hits(docs: DataFrame, query_sets: dict, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, query_set, category, keyword) where a keyword occurs as a whole term in the normalised text.
 
-    The text is normalised once a row and tested against each keyword in that row: no join at all.
+    The text is normalised once a row and tested against each keyword in that row: no join at all. A keyword of letters
+    and digits is looked up as bytes, with the marks that words may hold set apart; others by a pattern.
     """
     flat = sorted({(s, c, text.normalize_py(k)) for s, c, k in flatten_query_sets(query_sets) if text.normalize_py(k)})
     if not flat:
         raise ValueError("no keyword")
-    tests = [
-        F.when(F.col("norm").rlike(text.keyword_pattern(k, **how)), F.struct(F.lit(s).alias("query_set"), F.lit(c).alias("category"), F.lit(k).alias("keyword")))
-        for s, c, k in flat
-    ]
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.normalize(F.col(text_col)).alias("norm"))
-    hits = rows.select("doc_id", F.explode(F.array_compact(F.array(*tests))).alias("h"))
+
+    def found(both: Column, k: str) -> Column:
+        if not how and not set(k) & set("+#."):
+            return F.contains(both["apart"], F.lit(f" {k} "))
+        whole = F.contains(both["norm"], F.lit(k)) if how.get("case_insensitive", True) else F.lit(True)
+        return whole & both["norm"].rlike(text.keyword_pattern(k, **how))
+
+    def tests(both: Column) -> Column:
+        named = lambda s, c, k: F.struct(F.lit(s).alias("query_set"), F.lit(c).alias("category"), F.lit(k).alias("keyword"))
+        return F.array_compact(F.array(*[F.when(found(both, k), named(s, c, k)) for s, c, k in flat]))
+
+    def apart(norm: Column) -> Column:
+        for mark in "+#.":
+            norm = F.replace(norm, F.lit(mark), F.lit(f" {mark} "))
+        return F.concat(F.lit(" "), norm, F.lit(" "))
+
+    rows = normalized(docs, id_col, text_col, True)
+    both = text.let(F.col("norm"), lambda n: F.struct(n.alias("norm"), apart(n).alias("apart")))
+    hits = rows.select("doc_id", F.explode(text.let(both, tests)).alias("h"))
     return hits.select("doc_id", "h.query_set", "h.category", "h.keyword")
 
 
@@ -209,12 +231,17 @@ def phrase_scores(docs: DataFrame, categories: dict[str, list[str]], id_col: str
     The division runs inside the row: a phrase matches if no token of it is missing from the text's.
     """
     phrases = sorted({(c, tuple(text.query_terms(k, True))) for c, keywords in categories.items() for k in keywords if text.query_terms(k, True)})
-    toks = prepared(docs, id_col, text_col, collapse_hyphen=True)
-    counts = []
-    for c in sorted({c for c, _ in phrases}):
-        n = sum((F.size(F.array_except(F.array(*[F.lit(t) for t in p]), F.col("toks"))) == 0).cast("int") for k, p in phrases if k == c)
-        counts.append(F.struct(F.lit(c).alias("category"), n.alias("score_max")))
-    rows = toks.withColumn("toks", F.array_distinct("toks")).select("doc_id", F.explode(F.array(*counts)).alias("c"))
+
+    def counts(wide: Column) -> Column:
+        has = {t: F.contains(wide, F.lit(f" {t} ")) for t in sorted({t for _, p in phrases for t in p})}
+        per = []
+        for c in sorted({c for c, _ in phrases}):
+            n = sum(reduce(lambda x, y: x & y, [has[t] for t in p]).cast("int") for k, p in phrases if k == c)
+            per.append(F.struct(F.lit(c).alias("category"), n.alias("score_max")))
+        return F.array(*per)
+
+    norm = normalized(docs, id_col, text_col, True)
+    rows = norm.select("doc_id", F.explode(text.let(F.concat(F.lit(" "), "norm", F.lit(" ")), counts)).alias("c"))
     return rows.select("doc_id", "c.category", "c.score_max").where(F.col("score_max") >= min_keywords)
 
 

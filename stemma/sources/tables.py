@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -45,9 +48,31 @@ def overwrite(df: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under ``spark.checkpoint.dir``, or, where that is unset, a temporary one."""
+    """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``.
+
+    Only where that is unset and all runs in one process, as in local tests, a temporary folder is made for it.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="stemma-")
+        atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to scratch space and read back, so that what reads it several times computes it once.
+
+    It also cuts the lineage. The files go when the Python process ends, as results that are still lazy may read them until then.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(_forget, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        remove(spark, path)
