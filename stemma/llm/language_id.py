@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions.shipping import map_in_arrow
+from stemma.functions.shipping import map_in_arrow, spread
 from stemma.llm import codepoints
 from stemma.llm.common import held_out, materialize, table
 
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predictions(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with lang_pred, score and known; ``docs`` has a column text."""
-    kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    kept = spread(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t")))
     held = docs.sparkSession.sparkContext.broadcast(model)  # cells: 16 to 32 an n-gram of the largest profile, of up to 8 bytes for each 64 languages
     fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
@@ -224,7 +224,7 @@ def apply(docs: DataFrame) -> DataFrame:
             yield b.filter(pa.array([n != "und" and k >= KNOWN for n, k in zip(names, known, strict=True)], pa.bool_()))
 
     docs_columns = list(docs.columns)
-    return docs.transform(map_in_arrow, run, docs.schema)
+    return spread(docs).transform(map_in_arrow, run, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stemma.functions.shipping import spread
 from stemma.llm.common import materialize, table, words
 
 WEIGHTS = (3, 1, 2)
@@ -141,7 +142,7 @@ def mix(sizes: DataFrame) -> DataFrame:
 
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, th) of every row; th is a hash of the text."""
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("th"))
+    return spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("th"))
 
 
 def apply(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions.shipping import map_in_arrow
+from stemma.functions.shipping import map_in_arrow, spread
 from stemma.llm import tokens
 from stemma.llm.common import materialize, table
 
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                     cols, names = [*cols, tokens.id_lists(parts)], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").transform(map_in_arrow, run, _PIECES + (", ids array<int>" if ids else ""))
+    return spread(docs.select("doc_id", "text")).transform(map_in_arrow, run, _PIECES + (", ids array<int>" if ids else ""))
 
 
 def sequences(parts: DataFrame, length: int = LENGTH) -> DataFrame:

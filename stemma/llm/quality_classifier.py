@@ -7,7 +7,7 @@ gradients are summed per bin, and a split is the bin edge with the largest gain.
 complete and lie in three flat arrays, so a batch walks all trees at once, level by level.
 
 Defined cases: null and empty texts get the statistics of no text and a score like any other. No
-labelled rows: all scores 0.5. Several labels of one id: the lowest counts. Null or repeated ids are
+labelled rows: all scores 0.5. Several labels of one id: the lowest counts, of several texts the one of the least hash. Null or repeated ids are
 scored each for itself. An empty table gives an empty result. Long texts are read in pieces, but words,
 lines and repeats are those of the whole text.
 Columns other than doc_id and text are not read, whatever their names.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions.shipping import map_in_arrow
+from stemma.functions.shipping import map_in_arrow, spread
 from stemma.llm import codepoints
 from stemma.llm.common import held_out, table
 
@@ -265,7 +265,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             )
 
     # the sample is bounded by its parameter (16 bytes a row), so it may be broadcast
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(F.col("y").cast("int").alias("y"), "text")
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("l_id", F.col("y").cast("int").alias("y"), "text")
+    # one text an id, however often the id repeats
+    rows = rows.groupBy("l_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
     got = rows.transform(map_in_arrow, run, "y int, x array<double>").toPandas()
     if not len(got):
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -284,7 +286,7 @@ def apply(docs: DataFrame, forest: Forest) -> DataFrame:
             p = held.value.score(statistics(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").transform(map_in_arrow, run, "doc_id long, score double, predicted int")
+    return spread(docs.select("doc_id", "text")).transform(map_in_arrow, run, "doc_id long, score double, predicted int")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stemma.functions.shipping import spread
 from stemma.llm.common import NOT_SPACE, let, materialize, table, words
 
 #: Measures: name, numerator, denominator, scale.
@@ -196,7 +197,7 @@ def apply(docs: DataFrame) -> DataFrame:
 
     The texts are counted once, written with their counts, and never shuffled.
     """
-    counted = materialize(docs.select("*", text_stats(F.col("text")).alias(f"{_S}_stats")), "counted")
+    counted = materialize(spread(docs).select("*", text_stats(F.col("text")).alias(f"{_S}_stats")), "counted")
     cells = materialize(sketches(counted.select("lang", "source", *_measures(F.col(f"{_S}_stats")))), "sketches")
     return judge(counted, materialize(thresholds(cells), "thresholds"), "lang", "source", f"{_S}_stats")
 
@@ -204,7 +205,7 @@ def apply(docs: DataFrame) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest: counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
-    narrow = docs.select("doc_id", "lang", "source", text_stats(F.col("text")).alias(f"{_S}_stats"))
+    narrow = spread(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", text_stats(F.col("text")).alias(f"{_S}_stats"))
     narrow = materialize(narrow, "stats")
     cells = sketches(narrow.select("lang", "source", *_measures(F.col(f"{_S}_stats"))))
     out = judge(narrow, materialize(thresholds(materialize(cells, "sketches")), "thresholds"), "lang", "source", f"{_S}_stats")

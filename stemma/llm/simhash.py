@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stemma.functions.shipping import map_in_arrow
+from stemma.functions.shipping import map_in_arrow, spread
 from stemma.llm import graph
 from stemma.llm.common import materialize, table
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").transform(map_in_arrow, run, "doc_id long, fp long")
+    return spread(docs.select("doc_id", "text")).transform(map_in_arrow, run, "doc_id long, fp long")
 
 
 def _buckets(fp: Column) -> Column:
