@@ -138,15 +138,15 @@ def best_category(scores: DataFrame, id_col: str = "ref_id") -> DataFrame:
 
 
 def targets(records: DataFrame, known: list[DataFrame], field: str = "abstract", id_col: str = "ref_id", limit: int | None = None) -> DataFrame:
-    """(id, text) of the records with a non-blank field that no part of the index has yet."""
-    rows = records.select(id_col, F.trim(field).alias("text")).where(F.length("text") > 0)
+    """(id, text) of the records with a non-blank field that no part of the index has yet, a row an id: of several texts the least."""
+    rows = records.select(id_col, F.trim(field).alias("text")).where(F.length("text") > 0).groupBy(id_col).agg(F.min("text").alias("text"))
     for part in known:
         rows = rows.join(part.select(id_col), id_col, "left_anti")
     return rows.orderBy(id_col).limit(limit) if limit is not None else rows
 
 
 def embed(rows: DataFrame, embed_fun: Callable[[list[str]], np.ndarray], id_col: str = "ref_id", batch_size: int = BATCH) -> DataFrame:
-    """(id, vec) of (id, text) by a user's function, ``batch_size`` texts at a time; checks counts and dimensions."""
+    """(id, text, vec) of (id, text) by a user's function, ``batch_size`` texts at a time; checks counts and dimensions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = None
@@ -158,10 +158,10 @@ def embed(rows: DataFrame, embed_fun: Callable[[list[str]], np.ndarray], id_col:
                     raise ValueError(f"the embedding function gave {got.shape} for {b.num_rows} texts")
                 width = got.shape[1]
                 vecs = pa.array(list(got), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), vecs], names=["id", "vec"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), vecs], names=["id", "text", "vec"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, "text").transform(map_in_arrow, run, f"id {kind}, vec array<float>").withColumnRenamed("id", id_col)
+    return rows.select(id_col, "text").transform(map_in_arrow, run, f"id {kind}, text string, vec array<float>").withColumnRenamed("id", id_col)
 
 
 def compact(main: DataFrame, delta: DataFrame, id_col: str = "ref_id", seq: str = "seq") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stemma.sources import tables
+
 MAX_DEPTH, MAX_NODES = 2, 100
 #: The edge types, in the order in which they are tested.
 EDGE_TYPES = ("foundation", "extension", "comparison", "context")
@@ -60,7 +62,7 @@ def replace_sources(edges: DataFrame, new: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int, both: bool = False) -> DataFrame:
     """(id, depth) of all nodes within ``max_depth`` hops: frontier joins, each node at its first hop.
 
-    Each hop is checkpointed by the session's reliable checkpoint where one is set, so plans stay flat.
+    Each hop is written to the shared folder, so plans stay flat and a lost executor costs one hop.
     """
     steps = edges.select(F.col("source_ref_id").alias("a"), F.col("target_ref_id").alias("b"))
     if both:
@@ -71,8 +73,7 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int, both: bool = F
     for depth in range(1, max_depth + 1):
         new = steps.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         frontier = new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
-        if frontier.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
+        frontier = tables.once(frontier, "hop")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -125,7 +126,7 @@ def build(
         nodes = nodes.withColumn("traversable", F.lit(True))
     nodes = nodes.withColumn("node_type", F.when(F.col("traversable"), "cached").otherwise("external")).orderBy("depth", "id")
     kept = typed.where(F.col("source_ref_id").isin(sorted(depth)) & F.col("target_ref_id").isin(sorted(depth)))
-    first = F.row_number().over(Window.partitionBy("source_ref_id", "target_ref_id", "anchor_ref_id").orderBy("anchor_rank"))
+    first = F.row_number().over(Window.partitionBy("source_ref_id", "target_ref_id", "anchor_ref_id").orderBy("anchor_rank", "edge_type"))
     kept = kept.withColumn("__n", first).where("__n = 1").drop("__n").orderBy("source_ref_id", "target_ref_id", "anchor_ref_id")
     return nodes, kept, {"nodes": len(depth), "truncated_nodes": truncated, "max_depth": max_depth, "max_nodes": max_nodes}
 

@@ -40,19 +40,14 @@ def guard(df: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
 def by_keys(records: DataFrame, keys: DataFrame) -> DataFrame:
     """Records that a key names by DOI, id or source id, with which of them did (``matched_by``)."""
     wanted = keys.select(F.explode(ids.expand_keys(F.col(keys.columns[0]))).alias("key")).distinct()
-    rows = records.withColumn(
-        "__k",
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("o"), F.lit("doi").alias("by"), F.col("doi").alias("key")),
-                F.struct(F.lit(2).alias("o"), F.lit("ref_id").alias("by"), F.col("ref_id").alias("key")),
-                F.struct(F.lit(3).alias("o"), F.lit("source_id").alias("by"), F.col("source_id").alias("key")),
-            )
-        ),
-    )
-    hits = rows.join(wanted, F.col("__k.key") == F.col("key"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("ref_id", "source_id").orderBy("__k.o"))
-    return hits.withColumn("matched_by", F.col("__k.by")).withColumn("__n", first).where("__n = 1").drop("__k", "__n")
+    # a key of each kind meets a record once at most, so its rows stay as many as they are
+    out, found = records, []
+    for name in ("doi", "ref_id", "source_id"):
+        side = wanted.select(F.col("key").alias(f"__{name}"))
+        out = out.join(side, F.col(name) == F.col(f"__{name}"), "left")
+        found.append(F.when(F.col(f"__{name}").isNotNull(), name))
+    out = out.withColumn("matched_by", F.coalesce(*found)).where("matched_by is not null")
+    return out.drop("__doi", "__ref_id", "__source_id")
 
 
 def identity_map(pairs: DataFrame) -> DataFrame:

@@ -77,12 +77,14 @@ class Table:
         checks.require_columns(rows, *self.required)
         checks.require_none(self.problems(rows), self.name)
 
-    def write(self, rows: DataFrame, root: str) -> None:
-        """Validate, normalise and upsert into the delta."""
+    def write(self, rows: DataFrame, root: str, seq: str | None = None) -> None:
+        """Validate, normalise and upsert into the delta; a key that comes twice is an error, or the first by ``seq`` counts."""
         given = checks.align(rows, StructType([f for f in self.schema if f.name in rows.columns]))
         for name, words in self.vocabularies.items():
             if name in given.columns:
                 vocab.require(given, name, words)
+        if seq is not None:
+            rows = upsert.keep_first(rows, [k for k in self.keys if k in rows.columns], seq)
         new = self.normalize(rows)
         self.validate(new)
         spark = rows.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stemma.functions import ids
+from stemma.functions import checks, ids
 
 #: Fields of which a difference is no conflict.
 QUIET = ("note", "authors_list", "raw_entry")
@@ -57,15 +57,21 @@ def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
-    """Replace by composite key: existing rows whose key comes in go; of repeated incoming keys the first stays.
+    """Replace by composite key: existing rows whose key comes in go; of repeated incoming keys the first by ``seq`` stays.
 
-    A null key part equals an empty one.
+    Without ``seq`` nothing says which is first, so a repeated incoming key is an error. A null key part equals an empty one.
     """
     part = lambda k: F.coalesce(F.col(k).cast("string"), F.lit(""))
     mark = lambda df: df.withColumns({f"__k{i}": part(k) for i, k in enumerate(keys)})
     names = [f"__k{i}" for i in range(len(keys))]
-    new = keep_first(mark(incoming), names, *([seq] if seq else names))
-    old = mark(existing).join(new.select(*names), names, "left_anti")
+    if seq is None:
+        checks.require_unique(mark(incoming).select(*names), *names)
+        return _replaced(mark(existing), mark(incoming), names)
+    return _replaced(mark(existing), keep_first(mark(incoming), names, seq), names)
+
+
+def _replaced(existing: DataFrame, new: DataFrame, names: list[str]) -> DataFrame:
+    old = existing.join(new.select(*names), names, "left_anti")
     return old.unionByName(new, allowMissingColumns=True).drop(*names)
 
 
@@ -76,10 +82,17 @@ def changed_keys(existing: DataFrame, incoming: DataFrame, key: str) -> DataFram
     return added.unionByName(removed)
 
 
-def upsert_scaffold(existing: DataFrame, incoming: DataFrame, keys: list[str], remove_missing: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(new table, changed keys): an upsert, or a full exchange if ``remove_missing``."""
-    table = keep_first(incoming, keys, *keys) if remove_missing else upsert(existing, incoming, keys)
-    changes = changed_keys(existing, incoming, keys[0])
+def upsert_scaffold(
+    existing: DataFrame, incoming: DataFrame, keys: list[str], remove_missing: bool = False, seq: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(new table, changed keys): an upsert, or a full exchange if ``remove_missing``; keys of several columns are joined by tabs."""
+    if seq is None:
+        checks.require_unique(incoming.select(*keys), *keys)
+    else:
+        incoming = keep_first(incoming, keys, seq)
+    table = incoming if remove_missing else upsert(existing, incoming, keys, seq)
+    whole = lambda df: df.select((F.col(keys[0]) if len(keys) == 1 else F.concat_ws("\t", *keys)).alias(keys[0]))
+    changes = changed_keys(whole(existing), whole(incoming), keys[0])
     return table, changes if remove_missing else changes.where("change = 'added'")
 
 
@@ -146,4 +159,7 @@ def merge(existing: DataFrame, incoming: DataFrame, key: str, version: str | Non
 
 
 def merge_on_read(main: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    return upsert(main, delta, keys)
+    """Main with the delta's rows in place of its own of the same key; the delta holds a key once, as upserts made it."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    mark = lambda df: df.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("")) for n, k in zip(names, keys, strict=True)})
+    return _replaced(mark(main), mark(delta), names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stemma.functions import vectors
 from stemma.operators import embeddings as op
@@ -17,10 +18,9 @@ def _index(spark, d):
 
 def _queries(spark, d):
     rows = _index(spark, d).where("vec is not null and label is not null")
-    first = rows.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, PER_LABEL).alias("ids"))
-    ids = first.select(F.explode("ids").alias("vec_id"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))  # Spark keeps PER_LABEL rows a task before it shuffles
     name = F.format_string("cat_%d", F.col("label"))
-    return rows.join(F.broadcast(ids), "vec_id").select(name.alias("category_id"), F.format_string("q_%d", F.col("vec_id")).alias("query_id"), "vec")
+    return rows.withColumn("place", place).where(F.col("place") <= PER_LABEL).select(name.alias("category_id"), F.format_string("q_%d", F.col("vec_id")).alias("query_id"), "vec")
 
 
 def _query_vec(spark, d):

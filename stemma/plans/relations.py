@@ -252,6 +252,27 @@ e0 as (
 e as (select *, case when rel = 'builds_on' then 'foundation' else 'comparison' end as kind from e0 where t is not null and s <> t)"""
 _BOTH = "b as (select distinct s, t from e), u as (select s, t from b union select t, s from b)"
 
+
+
+def _walk(root: str = "1", most: int = 50) -> str:
+    """Two hops of the bounded walk, unrolled: up and down, then down and up; n4 has all nodes."""
+
+    def step(k: int, here: str, there: str, frontier: str, depth: int) -> str:
+        return f"""
+c{k} as (
+  select {there} as id, row_number() over (order by min((r, s, t)), {there}) as place from e
+  where {here} in ({frontier}) and {there} not in (select id from n{k - 1}) group by {there}),
+a{k} as (select id from c{k} where place <= {most} - (select count(*) from n{k - 1})),
+n{k} as (select * from n{k - 1} union all select id, {depth} from a{k})"""
+
+    return f"n0 as (select '{root}' as id, 0 as depth)," + ",".join(
+        (
+            step(1, "s", "t", f"'{root}'", 1), step(2, "t", "s", f"'{root}'", 1),
+            step(3, "t", "s", "select id from a2", 2), step(4, "s", "t", "select id from a1", 2),
+        )
+    )
+
+
 ORACLE_SQL = {
     "upsert_rows": f"with {_INC} select * from customer where c_custkey not in (select c_custkey from inc) union all select * from inc",
     "upsert_changes": f"""with {_INC}
@@ -317,6 +338,11 @@ select o_orderkey, case when m = 1 then 'doi' when arxiv is not null then 'arxiv
 select id, min(depth) as depth from w group by id""",
     "graph_reachable_both": f"""with recursive {_EDGE}, {_BOTH}, w(id, depth) as (select unnest(['1', '7']), 0 union select u.t, w.depth + 1 from w join u on u.s = w.id where w.depth < 1)
 select id, min(depth) as depth from w group by id""",
+    "graph_nodes": f"""with {_EDGE}, {_walk()}
+select id, depth, depth = 0 as is_root, true as traversable, 'cached' as node_type from n4""",
+    "graph_kept_edges": f"""with {_EDGE}, {_walk()},
+g as (select *, row_number() over (partition by s, t order by r, kind) as place from e where s in (select id from n4) and t in (select id from n4))
+select s as source_ref_id, t as target_ref_id, r as anchor_rank, kind as edge_type from g where place = 1""",
     "graph_overlay": f"""with {_EDGE}, f as (select *, row_number() over (partition by s, t order by r, role, rel) as n from e),
 b as (select s, t, r, rel from f where n = 1)
 select s as source_ref_id, t as target_ref_id, r as anchor_rank, rel as relationship from b where r <> 1

@@ -121,10 +121,12 @@ def write(records: DataFrame, ref_ids: list[str], path: str, prefer_linked_doi:
     wanted = spark.createDataFrame([(i, r) for i, r in enumerate(ref_ids)], "seq int, want string")
     if prefer_linked_doi and links is not None:
         to = links.select(F.concat(F.lit("arxiv:"), "arxiv_id").alias("want"), F.concat(F.lit("doi:"), "doi").alias("__doi"))
-        wanted = wanted.join(F.broadcast(to), "want", "left").withColumn("ref_id", F.coalesce("__doi", "want"))
+        wanted = wanted.join(to, "want", "left").withColumn("ref_id", F.coalesce("__doi", "want"))
     else:
         wanted = wanted.withColumn("ref_id", F.col("want"))
-    made = F.broadcast(wanted).join(render(records), "ref_id", "left")  # the list is the caller's, so small
+    # the list is the caller's, so small; the other side can be filtered by it before it is joined
+    found = render(records.join(F.broadcast(wanted.select("ref_id").distinct()), "ref_id", "left_semi"))
+    made = wanted.join(found, "ref_id", "left")
     unresolved = [r["want"] for r in made.where("bibtex is null").orderBy("seq").select("want").collect()]
     tables.remove(spark, path)
     made.where("bibtex is not null").orderBy("seq").select("bibtex").coalesce(1).write.text(path, lineSep="\n\n")

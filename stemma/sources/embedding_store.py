@@ -32,8 +32,17 @@ class EmbeddingStore:
             return self.spark.createDataFrame([], schema("ref_id string, abstract string, vec array<float>, shard_year string"))
         return self.spark.read.schema(schema("ref_id string, abstract string, vec array<float>, shard_year string")).parquet(path)
 
-    def delta(self) -> DataFrame:
-        return tables.load(self.spark, f"{self.root}/delta", DELTA)
+    def batches(self) -> list[str]:
+        """Names of the appended batches, in order; each is a folder of the delta."""
+        return [n.removeprefix("batch=") for n in tables.folders(self.spark, f"{self.root}/delta") if n.startswith("batch=")]
+
+    def delta(self, batches: list[str] | None = None) -> DataFrame:
+        """Rows of all batches, or of those named."""
+        names = self.batches() if batches is None else batches
+        if not names:
+            return self.spark.createDataFrame([], DELTA)
+        reader = self.spark.read.schema(DELTA).option("basePath", f"{self.root}/delta")
+        return reader.parquet(*[f"{self.root}/delta/batch={n}" for n in names])
 
     def manifest(self) -> DataFrame:
         return tables.load(self.spark, f"{self.root}/manifest", MANIFEST)
@@ -42,16 +51,17 @@ class EmbeddingStore:
         """Embed what no part has yet (all, if ``overwrite``) and append it as one batch; returns the batch's name."""
         known = [] if overwrite else [self.main(), self.delta()]
         todo = embeddings.targets(records, known, self.names[1], limit=limit)
-        new = embeddings.embed(todo, embed_fun, batch_size=batch_size).join(todo, "ref_id")
+        new = embeddings.embed(todo, embed_fun, batch_size=batch_size)  # the texts come along, so nothing is read or joined again
         batch = f"batch_{datetime.now(UTC):%Y%m%d%H%M%S}_{uuid.uuid4().hex[:8]}"
         last = self.delta().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        rows = new.select("ref_id", F.col("text").alias("abstract"), "vec", F.lit(last + 1).cast("long").alias("seq"), F.lit(batch).alias("batch"))
-        rows.write.mode("append").parquet(f"{self.root}/delta")
+        rows = new.select("ref_id", F.col("text").alias("abstract"), "vec", F.lit(last + 1).cast("long").alias("seq"))
+        rows.write.parquet(f"{self.root}/delta/batch={batch}")
         return batch
 
     def compact(self) -> None:
-        """Fold the delta into main; only the years that it touches are written again."""
-        delta, main = self.delta(), self.main()
+        """Fold the batches that are there now into main; only the years that they touch are written again. Batches appended meanwhile stay."""
+        folded = self.batches()
+        delta, main = self.delta(folded), self.main()
         year = ids.shard_year(F.col("ref_id"))
         touched = delta.select(year.alias("shard_year")).distinct()
         old = main.join(F.broadcast(touched), "shard_year", "left_semi").drop("shard_year")  # a row a year
@@ -64,7 +74,8 @@ class EmbeddingStore:
         fresh = self.spark.read.parquet(side)
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_year").parquet(f"{self.root}/main")
         tables.remove(self.spark, side)
-        tables.remove(self.spark, f"{self.root}/delta")
+        for name in folded:
+            tables.remove(self.spark, f"{self.root}/delta/batch={name}")
         one = self.main().agg(F.count("*").alias("records"), F.max(F.size("vec")).cast("int").alias("dimension"))
         names = [F.lit(v).alias(n) for n, v in zip(("collection_id", "field", "model", "provider"), self.names, strict=True)]
         tables.overwrite(one.select(*names, "dimension", "records", F.current_timestamp().alias("updated_at")), f"{self.root}/manifest")
@@ -105,9 +116,14 @@ def write_float32_matrix(matrix: np.ndarray) -> bytes:
 
 
 def import_matrix(spark: SparkSession, path: str, names: DataFrame, columns: int, id_col: str = "ref_id", seq: str = "seq") -> DataFrame:
-    """(id, vec) of a raw matrix file and its row names in order; read a column-stripe at a time by Spark's binary source."""
-    data = spark.read.format("binaryFile").load(path).select("content")
+    """(id, vec) of a raw matrix file and its row names in order; read a column-stripe at a time by Spark's binary source.
+
+    The source holds a file in one row, so one of 2 GiB or more is refused; such a matrix comes in several files.
+    """
     rows = names.count()
+    if 4 * rows * columns >= 1 << 31:
+        raise ValueError("the matrix has 2 GiB or more; split it by rows")
+    data = spark.read.format("binaryFile").load(path).select("content")
     width = F.lit(4 * rows)
     stripes = data.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.substring("content", (c * width + 1).cast("int"), width.cast("int")))).alias("c", "stripe"))
 

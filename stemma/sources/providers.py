@@ -136,7 +136,7 @@ def meta_map(html: Column) -> Column:
     """Map of a page's meta names (lower case) to arrays of contents, in order."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
     name = lambda t: F.lower(F.regexp_extract(t, r"(?is)(?:name|property)\s*=\s*[\"']([^\"']*)", 1))
-    value = lambda t: F.trim(F.regexp_extract(t, r"(?is)content\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1))
+    value = lambda t: F.trim(F.regexp_extract(t, r"(?is)content\s*=\s*([\"'])(.*?)\1", 2))
     pairs = F.filter(F.transform(tags, lambda t: F.struct(name(t).alias("k"), value(t).alias("v"))), lambda p: (p["k"] != "") & (p["v"] != ""))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])))

@@ -17,14 +17,29 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Where the table that is being replaced waits until its successor is in place.
+PREVIOUS = ".previous"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``; one that a crash left aside between two steps of :func:`overwrite` is put back first."""
     fs, at = _fs(spark, path)
-    return fs.exists(at)
+    if fs.exists(at):
+        return True
+    aside = _fs(spark, path + PREVIOUS)[1]
+    return fs.exists(aside) and fs.rename(aside, at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    for name in (path, path + PREVIOUS):
+        fs, at = _fs(spark, name)
+        fs.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it is absent."""
     fs, at = _fs(spark, path)
-    fs.delete(at, True)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
 
 
 def load(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -37,14 +52,25 @@ def load(spark: SparkSession, path: str, schema: StructType | None = None) -> Da
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Write ``df`` in place of the table at ``path``, which ``df`` may itself read: written beside it, then renamed."""
+    """Write ``df`` in place of the table at ``path``, which ``df`` may itself read.
+
+    It is written beside the old table, the old one is moved aside and the new one to its place; only then the old one goes. After a crash
+    at any step one of the two is whole, and :func:`exists` and :func:`load` find it. If the last move fails the old table is put back.
+    """
     spark = df.sparkSession
     side = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(side)
     fs, at = _fs(spark, path)
-    fs.delete(at, True)
-    if not fs.rename(_fs(spark, side)[1], at):
+    aside, new = _fs(spark, path + PREVIOUS)[1], _fs(spark, side)[1]
+    if exists(spark, path):
+        fs.delete(aside, True)
+        if not fs.rename(at, aside):
+            raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, at):
+        if fs.exists(aside):
+            fs.rename(aside, at)
         raise OSError(f"could not move {side} to {path}")
+    fs.delete(aside, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

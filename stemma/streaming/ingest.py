@@ -35,7 +35,11 @@ def upsert_into(stream: DataFrame, path: str, keys: list[str], seq: str, checkpo
 
 
 def windowed_counts(stream: DataFrame, at: str, width: str = "1 day", late: str = "1 hour", by: list[str] | None = None, slide: str | None = None) -> DataFrame:
-    """Counts per window of event time; rows later than ``late`` behind the newest are dropped, closed windows forgotten."""
+    """Counts per window of event time.
+
+    Written by :func:`append_to_table`, rows later than ``late`` behind the newest are dropped, and a window is written and forgotten when it
+    closes. :func:`run_to_table` has every window and every row, and its state grows with the windows.
+    """
     window = F.window(at, width, slide) if slide else F.window(at, width)
     return stream.withWatermark(at, late).groupBy(window, *(by or [])).agg(F.count("*").alias("n"))
 
@@ -45,13 +49,28 @@ def session_counts(stream: DataFrame, at: str, key: str, gap: str, late: str = "
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n"))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete"):
-    """Run what is there now and write the result table at ``path``, replacing it with each batch."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str):
+    """Run what is there now and write the whole result at ``path``, replacing it with each batch: for results of bounded size.
+
+    No row is late and no group forgotten, as every batch gives the whole result.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
         tables.overwrite(batch, path)
 
-    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_to_table(stream: DataFrame, path: str, checkpoint: str):
+    """Run what is there now and add what is final, such as closed windows, to the table at ``path``.
+
+    State holds open groups alone. Each batch has a folder of its own, written anew if the batch is run again, so nothing comes twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def pending_days(ledger: DataFrame, first: str, last: str) -> DataFrame:

@@ -115,7 +115,7 @@ def test_embedding_life_cycle(spark):
     assert new.count() == 8 and new.schema["vec"].dataType.simpleString() == "array<float>"
     with pytest.raises(Exception, match="embedding function"):
         embeddings.embed(todo, lambda texts: np.zeros((1, 2)), batch_size=3).collect()
-    delta = new.withColumn("seq", F.lit(1)).unionByName(spark.createDataFrame([("r1", [0.0, 1.0], 2)], "ref_id string, vec array<float>, seq int"))
+    delta = new.drop("text").withColumn("seq", F.lit(1)).unionByName(spark.createDataFrame([("r1", [0.0, 1.0], 2)], "ref_id string, vec array<float>, seq int"))
     got = {r.ref_id: list(r.vec) for r in embeddings.compact(main, delta).collect()}
     assert len(got) == 9 and got["r1"] == [0.0, 1.0]
     s = embeddings.state(docs, main, delta).first()

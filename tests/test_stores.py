@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.functions import checks
-from stemma.operators import graph, stores
-from stemma.sources import bibtex, records
+from stemma.operators import graph, references, stores, upsert
+from stemma.sources import bibtex, records, tables
+from stemma.streaming import ingest
 from stemma.sources.embedding_store import EmbeddingStore, import_matrix, read_float32_matrix, write_float32_matrix
 
 
@@ -82,6 +83,74 @@ def test_embedding_store(spark, tmp_path):
     assert store.main().count() == 0
 
 
+def test_repeated_ids_are_embedded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return np.ones((len(texts), 2)) / np.sqrt(2)
+
+    docs = spark.createDataFrame([("a", "one"), ("a", "two"), ("b", "three")], "ref_id string, abstract string")
+    store = EmbeddingStore(spark, str(tmp_path / "e"), "c")
+    store.append(docs, embed)
+    assert {(r.ref_id, r.abstract) for r in store.delta().collect()} == {("a", "one"), ("b", "three")} and calls.value == 2
+
+
+def test_batches_appended_while_compacting_stay(spark, tmp_path, monkeypatch):
+    one = lambda texts: np.array([[1.0, 0.0]] * len(texts))
+    row = lambda i: spark.createDataFrame([(f"arxiv:2301.0000{i}", "t")], "ref_id string, abstract string")
+    store = EmbeddingStore(spark, str(tmp_path / "e"), "c")
+    store.append(row(1), one)
+    folded = store.batches()
+    monkeypatch.setattr(store, "batches", lambda: folded)
+    EmbeddingStore(spark, str(tmp_path / "e"), "c").append(row(2), one)
+    store.compact()
+    fresh = EmbeddingStore(spark, str(tmp_path / "e"), "c")
+    assert [r.ref_id for r in fresh.delta().collect()] == ["arxiv:2301.00002"] and [r.ref_id for r in fresh.main().collect()] == ["arxiv:2301.00001"]
+    fresh.compact()
+    assert fresh.main().count() == 2 and not fresh.batches()
+
+
+def test_overwrite_survives_a_crash_between_its_steps(spark, tmp_path):
+    at = str(tmp_path / "t")
+    tables.overwrite(spark.range(3), at)
+    (tmp_path / "t").rename(tmp_path / "t.previous")  # the old table is aside, the new one isn't there yet
+    assert tables.load(spark, at).count() == 3
+    tables.overwrite(tables.load(spark, at).where("id > 0"), at)
+    assert tables.load(spark, at).count() == 2 and not (tmp_path / "t.previous").exists()
+    (tmp_path / "t").rename(tmp_path / "t.previous")
+    tables.overwrite(spark.range(5), at)
+    assert tables.load(spark, at).count() == 5
+
+
+def test_keys_of_records_with_null_ids(spark):
+    records_ = spark.createDataFrame([(None, None, "10.1/a"), (None, None, "10.1/b"), ("10.1/b", "s", "10.1/b"), ("x", "s", None)], "ref_id string, source_id string, doi string")
+    keys = spark.createDataFrame([("10.1/a",), ("10.1/b",), ("s",)], "k string")
+    got = sorted((r.doi or "", r.ref_id or "", r.matched_by) for r in references.by_keys(records_, keys).collect())
+    assert got == [("", "x", "source_id"), ("10.1/a", "", "doi"), ("10.1/b", "", "doi"), ("10.1/b", "10.1/b", "doi")]
+
+
+def test_repeated_incoming_keys_need_an_order(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (2, "d", 1)], "k int, v string, n int")
+    with pytest.raises(ValueError, match="not unique"):
+        upsert.upsert(old, new, ["k"])
+    assert {(r.k, r.v) for r in upsert.upsert(old, new, ["k"], "n").collect()} == {(1, "c"), (2, "d")}
+    table, changes = upsert.upsert_scaffold(old, new.where("n = 1"), ["k", "v"])
+    assert table.count() == 3 and {(r.k, r.change) for r in changes.collect()} == {("1\tc", "added"), ("2\td", "added")}
+
+
+def test_closed_windows_are_appended_and_late_rows_dropped(spark, tmp_path):
+    data, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    schema = spark.createDataFrame([], "ts timestamp, k string").schema
+    for day, n in (("2024-01-01", 2), ("2024-01-03", 1), ("2024-01-01", 4), ("2024-01-06", 1)):
+        spark.createDataFrame([(day, "a")] * n, "d string, k string").select(F.to_timestamp("d").alias("ts"), "k").coalesce(1).write.mode("append").parquet(data)
+        stream = ingest.windowed_counts(ingest.files(spark, data, schema), "ts")
+        ingest.append_to_table(stream, out, log).awaitTermination()
+    got = {(str(r.window.start)[:10], r.n) for r in spark.read.parquet(out).collect()}
+    assert got == {("2024-01-01", 2), ("2024-01-03", 1)}
+
+
 def test_raw_matrix(spark, tmp_path):
     m = np.arange(12, dtype=np.float32).reshape(4, 3)
     (tmp_path / "m.f32").write_bytes(write_float32_matrix(m))
