@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from stemma.functions import checks, text, vocab
 from stemma.functions.schemas import schema
+from stemma.sources import tables
 
 _LISTS = "research_questions paper_structure methods key_findings limitations contribution_type keywords"
 _TEXTS = (
@@ -207,3 +208,72 @@ def prompt(fragments: dict[str, str], values: dict[str, str], mode: str, has_dig
     if left:
         raise ValueError(f"no value for {', '.join(left)}")
     return out
+
+
+class Store:
+    """Digests on disk: all revisions; the latest of each id counts."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def history(self) -> DataFrame:
+        return tables.load(self.spark, f"{self.root}/history", SCHEMA)
+
+    def write(self, digests: DataFrame, keep_history: bool = True, bump_revision: bool = True) -> None:
+        """Normalise, number, validate and append digests, one an id.
+
+        The revision is that after the latest; where the schema version differs from the latest's, that counts as revision 1. Without ``bump_revision``
+        a digest keeps the number it has and replaces the revision of that number; without ``keep_history`` older revisions go.
+        """
+        checks.require_unique(digests.select("ref_id"), "ref_id")
+        old = self.history()
+        new = normalize(checks.align(digests, SCHEMA))
+        if bump_revision:
+            last = latest(old).select(F.col("ref_id").alias("__id"), F.col("schema_version").alias("__v"), F.col("digest_revision").alias("__r"))
+            joined = new.join(last, F.col("ref_id") == F.col("__id"), "left")
+            before = F.when(F.col("__id").isNotNull(), F.when(F.col("__v").eqNullSafe(F.col("schema_version")), F.coalesce("__r", F.lit(1))).otherwise(F.lit(1)))
+            joined = joined.withColumn("derived_from_revision", before.cast("int"))
+            top = old.groupBy(F.col("ref_id").alias("__t")).agg(F.max("digest_revision").alias("__top"))
+            joined = joined.join(top, F.col("ref_id") == F.col("__t"), "left")
+            new = joined.withColumn("digest_revision", (F.coalesce(before, F.lit(0)) + 1).cast("int")).drop("__id", "__v", "__r", "__t", "__top")
+        new = tables.once(new, "digests")
+        validate(new)
+        named = new.select(F.col("ref_id").alias("__id"), F.col("digest_revision").alias("__r"))
+        same = F.col("ref_id") == F.col("__id")
+        if keep_history:  # a revision of the same number is of an older schema, or is written anew
+            same = same & (F.col("digest_revision") >= F.col("__r"))
+        tables.overwrite(old.join(named, same, "left_anti").unionByName(new), f"{self.root}/history")
+
+    def read(self, ref_ids: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The latest digest of each id, upgraded to the newest form."""
+        rows = self.history()
+        if ref_ids is not None:
+            rows = rows.where(F.col("ref_id").isin(ref_ids))
+        rows = upgrade(latest(rows))
+        return rows.select("ref_id", *[c for c in columns if c != "ref_id"]) if columns else rows
+
+
+def inline_table(json: Column, fields: list[str]) -> Column:
+    """Array of structs of ``fields`` (strings) of a table inside a digest: an array of objects.
+
+    Older digests have it transposed: a row a field, in the order of ``fields``, and columns V1, V2, ... for the table's rows.
+    """
+    rows = F.from_json(json, "array<map<string,string>>")
+    own = lambda r: F.struct(*[F.element_at(r, f).alias(f) for f in fields])
+    columns = F.array_sort(F.filter(F.map_keys(F.get(rows, F.lit(0))), lambda k: k.rlike(r"^V\d+$")), lambda a, b: F.substring(a, 2, 9).cast("int") - F.substring(b, 2, 9).cast("int"))
+    turned = F.transform(columns, lambda k: F.struct(*[F.element_at(F.get(rows, F.lit(i)), k).alias(f) for i, f in enumerate(fields)]))
+    return F.when(F.size(columns) > 0, turned).otherwise(F.transform(rows, own))
+
+
+#: What a release manifest of the digest schema has to name.
+RELEASE = ("schema_version", "prompt_version", "released_at")
+
+
+def release(manifest: dict) -> dict:
+    """A release manifest, checked: all of ``RELEASE`` are there, and the schema version is one of ``VERSIONS``."""
+    absent = [k for k in RELEASE if not manifest.get(k)]
+    if absent:
+        raise ValueError(f"the manifest lacks {', '.join(absent)}")
+    if manifest["schema_version"] not in VERSIONS:
+        raise ValueError(f"unknown schema version {manifest['schema_version']}")
+    return manifest

@@ -200,3 +200,22 @@ def repair_raw(raw: DataFrame, records: DataFrame, id_col: str = "ref_id", field
 def shard_scores_top(scores: DataFrame, top_n: int, id_col: str = "ref_id") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc("score_max"), id_col))
     return scores.withColumn("rank", rank).where(F.col("rank") <= top_n)
+
+
+def date_stats(records: DataFrame, parts: list[DataFrame], by: str = "month", at: str = "pub_date", id_col: str = "ref_id") -> DataFrame:
+    """(bucket, total, embedded, missing, coverage as a share) of records by day, month or year; ``parts`` hold what is embedded."""
+    done = parts[0].select(id_col)
+    for part in parts[1:]:
+        done = done.unionByName(part.select(id_col))
+    rows = records.where(F.col(at).isNotNull()).select(id_col, F.to_date(F.date_trunc(by, at)).alias("bucket"))
+    flagged = rows.join(done.distinct().withColumn("__d", F.lit(1)), id_col, "left")
+    out = flagged.groupBy("bucket").agg(F.count("*").alias("total"), F.count("__d").alias("embedded"))
+    return out.withColumn("missing", F.col("total") - F.col("embedded")).withColumn("coverage", F.col("embedded") / F.col("total"))
+
+
+def migrated(metadata: DataFrame, id_col: str = "ref_id", fields: tuple[str, ...] = ("abstract", "text", "summary")) -> DataFrame:
+    """(ref_id, abstract) of metadata of any older layout: the first usual text column that holds something, a row an id."""
+    have = [F.when(F.trim(f) != "", F.col(f)) for f in fields if f in metadata.columns]
+    if not have:
+        raise ValueError(f"none of {', '.join(fields)}")
+    return metadata.select(F.col(id_col).alias("ref_id"), F.coalesce(*have).alias("abstract")).where("ref_id is not null").groupBy("ref_id").agg(F.max("abstract").alias("abstract"))

@@ -140,3 +140,23 @@ def described(nodes: DataFrame, records: DataFrame, edges: DataFrame, details: D
         out = out.join(named, "id", "left").withColumn("__t", F.coalesce("__t", "__a")).drop("__a")
     out = out.withColumnRenamed("__t", "title")
     return out if details is None else out.join(details.withColumnRenamed("ref_id", "id"), "id", "left")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) of linked ids (left, right): the least id reachable over pairs of either side.
+
+    Every id takes the least component among its own and its neighbours', and that id's, round after round until nothing changes; a round is
+    written once. For identity links, whose components are small.
+    """
+    left, right = links.columns[:2]
+    both = links.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b"))
+    both = tables.once(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = tables.once(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
+    while True:
+        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("c"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        moved = labels.join(near, F.col("id") == F.col("a")).join(jump, "component", "left")
+        fresh = tables.once(moved.select("id", F.least("component", "c", F.coalesce("further", "component")).alias("component")), "labels")
+        if not fresh.join(labels, ["id", "component"], "left_anti").limit(1).count():
+            return fresh
+        labels = fresh

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import checks, ids, vocab
 from stemma.operators import digest, embeddings, graph, lexical, references, research, stores, upsert
-from stemma.plans.tables import read
+from stemma.plans.tables import read, session
 from stemma.sources import bibtex, providers, records, tables
 from stemma.sources.embedding_store import EmbeddingStore
 
@@ -37,12 +37,15 @@ _OUT = {
 }
 
 
-def _stored(spark, d, table):
-    root = tables.scratch(spark, table.name)
-    table.write(_research(spark, d, table, False), root)
-    table.compact(spark, root)
-    table.write(_research(spark, d, table, True), root)
-    return root
+def _stored(spark, d, table, shared=True):
+    def make():
+        root = tables.scratch(spark, table.name)
+        table.write(_research(spark, d, table, False), root)
+        table.compact(spark, root)
+        table.write(_research(spark, d, table, True), root)
+        return root
+
+    return session(spark, (table.name, d), make) if shared else make()
 
 
 def research_read(spark, d, table):
@@ -55,7 +58,7 @@ def research_find(spark, d, table):
 
 
 def research_rebuild(spark, d, table):
-    root = _stored(spark, d, table)
+    root = _stored(spark, d, table, shared=False)
     table.rebuild(spark, root)
     return tables.load(spark, f"{root}/{table.name}/main").select("ref_id", *_OUT[table.name])
 
@@ -96,7 +99,7 @@ def _records(spark, d):
         F.when(kind == 2, F.format_string("978%010d", k)).alias("isbn"), F.col("o_orderpriority").alias("collection_id"), F.col("o_orderstatus").alias("title"),
         F.year("o_orderdate").alias("year"), F.col("o_orderdate").cast("timestamp").alias("pub_date"),
     )
-    late = made.where("source = 'arxiv' and year < 1994").withColumns({"arxiv_version": F.lit(9), "collection_id": F.lit("late")})
+    late = made.where("source = 'arxiv' and year < 1996").withColumns({"arxiv_version": F.lit(9), "collection_id": F.lit("late")})
     return checks.align(made.unionByName(late), records.SCHEMA)
 
 
@@ -367,7 +370,11 @@ def _length_vectors(texts):
     return np.stack([n, np.full(len(n), 100.0)], axis=1) / np.sqrt(n * n + 10_000.0)[:, None]
 
 
-def _embedded(spark, d):
+def _embedded(spark, d, shared=True):
+    return session(spark, ("embedded", d), lambda: _embedded(spark, d, False)) if shared else _append(spark, d)
+
+
+def _append(spark, d):
     p = read(spark, d, "part").select(F.format_string("arxiv:%02d01.%05d", F.col("p_size") % 20 + 1, F.col("p_partkey") % 100_000).alias("ref_id"), F.repeat("p_name", F.col("p_size")).alias("abstract"))
     store = EmbeddingStore(spark, tables.scratch(spark, "embeddings"), "parts", model="length")
     store.append(p.where("ref_id < 'arxiv:10'"), _length_vectors)
@@ -382,13 +389,13 @@ def embedding_store_delta(spark, d):
 
 
 def embedding_store_main(spark, d):
-    store, _ = _embedded(spark, d)
+    store, _ = _embedded(spark, d, shared=False)
     store.compact()
     return store.main().select("ref_id", "shard_year", F.round(F.col("vec")[0], 4).alias("x"))
 
 
 def embedding_store_search(spark, d):
-    store, _ = _embedded(spark, d)
+    store, _ = _embedded(spark, d, shared=False)
     store.compact()
     return store.search("y" * 100, _length_vectors, 15, years=["2011", "2012"]).select("ref_id", F.round("score", 5).alias("score"))
 
@@ -471,7 +478,7 @@ m as (
     case when kind = 0 and o_orderkey % 2 = 0 then '10.1000/A' || o_orderkey when kind = 1 then '10.1000/X' || o_orderkey end as doi,
     case when kind = 2 then printf('978%010d', o_orderkey) end as isbn, o_orderpriority as collection_id, {title} as title, year(o_orderdate)::int as year
   from k),
-late as (select * replace (9 as arxiv_version, 'late' as collection_id) from m where source = 'arxiv' and year < 1994),
+late as (select * replace (9 as arxiv_version, 'late' as collection_id) from m where source = 'arxiv' and year < 1996),
 r as (select * from m union all select * from late)"""
 _slug = "regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
@@ -520,9 +527,9 @@ from m left join p on m.ref_id = 'arxiv:' || arxiv_id""".replace("from r where s
     "key_forms": _rec(""" select ref_id as key, case kind when 0 then aid || ' ' || ref_id else ref_id end as forms,
   case kind when 0 then aid || ' ' || ref_id else substr(ref_id, 5) || ' ' || ref_id end as candidates from m where kind < 2"""),
     "normalized_identity": _rec(" select distinct case kind when 1 then 'doi:' || doi else ref_id end as ref_id, case kind when 1 then doi else source_id end as source_id from m"),
-    "records_added": _rec(""" select case kind when 1 then 'doi:' || doi else ref_id end as ref_id, case when kind = 0 and year < 1994 then 9 else coalesce(arxiv_version, 0) end as arxiv_version,
-  case when kind = 0 and year < 1994 then 'late' else title end as title from m"""),
-    "records_deduplicated": _rec(" select ref_id, case when kind = 0 and year < 1994 then 9 else coalesce(arxiv_version, 0) end as arxiv_version, case when kind = 0 and year < 1994 then 'late' else collection_id end as collection_id from m"),
+    "records_added": _rec(""" select case kind when 1 then 'doi:' || doi else ref_id end as ref_id, case when kind = 0 and year < 1996 then 9 else coalesce(arxiv_version, 0) end as arxiv_version,
+  case when kind = 0 and year < 1996 then 'late' else title end as title from m"""),
+    "records_deduplicated": _rec(" select ref_id, case when kind = 0 and year < 1996 then 9 else coalesce(arxiv_version, 0) end as arxiv_version, case when kind = 0 and year < 1996 then 'late' else collection_id end as collection_id from m"),
     "records_round_trip": _rec(" select ref_id, year, collection_id, coalesce(arxiv_version, 0) as arxiv_version from m"),
     "record_payloads": _rec(f" select {_FILE} as file, ref_id, year, 'j' as journal from m"),
     "hydrated": _rec(" select ref_id, title, year from m"),

@@ -173,3 +173,36 @@ def merge_messages(*messages: DataFrame) -> DataFrame:
     every = every.join(top, "__doi").where((F.col("__top") < RANKS["crossref"]) | (F.col("__rank") == F.col("__top")))
     best = lambda c: F.max_by(F.col(c), F.when(ids.null_if_blank(F.col(c).cast("string")).isNotNull(), F.col("__rank"))).alias(c)
     return every.groupBy("__doi").agg(best("doi"), best("source"), *[best(c) for c in _PARTS if c in every.columns]).drop("__doi")
+
+
+CSL = (
+    "title string, author array<struct<given:string,family:string,literal:string>>, issued struct<`date-parts`:array<array<int>>>, `container-title` string, "
+    "publisher string, volume string, issue string, page string, abstract string, URL string, ISBN string, ISSN string, categories array<string>"
+)
+
+
+def csl(df: DataFrame, json: str = "json", doi: str = "doi") -> DataFrame:
+    """Bibliographic fields of citation style JSON."""
+    m = df.select(F.col(doi).alias("doi"), F.from_json(json, CSL).alias("m"))
+    f = lambda name: ids.null_if_blank(F.col(f"m.`{name}`"))
+    people = F.transform("m.author", lambda a: F.coalesce(ids.null_if_blank(F.concat_ws(" ", a["given"], a["family"])), a["literal"]))
+    parts = F.get(F.col("m.issued.`date-parts`"), F.lit(0))
+    at = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(1))
+    day = F.when(F.get(parts, F.lit(0)).isNotNull(), F.make_timestamp(F.get(parts, F.lit(0)), at(1), at(2), F.lit(0), F.lit(0), F.lit(0)))
+    return m.select(
+        "doi", F.lit("doi_org_csl").alias("source"), f("title").alias("title"), F.array_join(people, "; ").alias("authors"), day.alias("pub_date"),
+        f("container-title").alias("container_title"), f("publisher").alias("publisher"), f("volume").alias("volume"), f("issue").alias("issue"), f("page").alias("pages"),
+        f("abstract").alias("abstract"), F.coalesce(f("URL"), F.concat(F.lit("https://doi.org/"), "doi")).alias("url"), f("ISBN").alias("isbn"), f("ISSN").alias("issn"),
+        F.array_join(F.array_distinct("m.categories"), "; ").alias("subject_all"),
+    )
+
+
+def as_records(messages: DataFrame) -> DataFrame:
+    """Merged messages as records."""
+    out = messages.withColumns(
+        {
+            "ref_id": F.concat(F.lit("doi:"), "doi"), "source_id": F.col("doi"), "entry_type": F.lit("article"), "journal": F.col("container_title"), "url_landing": F.col("url"),
+            "authors_list": F.split("authors", "; "),
+        }
+    )
+    return checks.align(_dates(out), SCHEMA)

@@ -102,3 +102,18 @@ def once(df: DataFrame, name: str) -> DataFrame:
 def _forget(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone
         remove(spark, path)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the table at ``path``."""
+    fs, at = _fs(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
+def readable(spark: SparkSession, path: str) -> bool:
+    """Whether the table at ``path`` can be read: its schema and all row counts."""
+    try:
+        spark.read.parquet(path).count()
+    except Exception:  # whatever is wrong with it
+        return False
+    return True
