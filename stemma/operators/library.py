@@ -61,7 +61,7 @@ class Library:
 
     def add(self, rows: DataFrame, collection_id: str | None = None) -> DataFrame:
         """Merge records into the table and link them to a collection, or to the one that each row names; returns the links."""
-        rows = tables.once(upsert.normalize_identity(checks.align(rows, records.SCHEMA)), "incoming")
+        rows = tables.once(upsert.normalize_identity(checks.align(rows, records.SCHEMA)), "records")
         stores.add(self.spark, self._at("records"), rows, self._at("conflicts"))
         name = F.lit(collection_id) if collection_id else F.col("collection_id")
         links = rows.select("ref_id", name.alias("collection_id"), F.current_timestamp().alias("recorded_at")).where("ref_id is not null and collection_id is not null")

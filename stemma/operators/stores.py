@@ -69,9 +69,10 @@ def add(spark: SparkSession, path: str, incoming: DataFrame, log: str | None = N
     """Merge records into the table at ``path``: intra-batch dedup, version-aware merge by upsert key, conflicts to ``log``."""
     incoming = upsert.normalize_identity(checks.align(incoming, records.SCHEMA))
     key = ids.upsert_key(F.col("doi"), F.col("source"), F.col("source_id"), F.col("ref_id")).alias("__key")
-    new = upsert.prefer_complete(incoming.select("*", key), ["__key"], "arxiv_version", ["ref_id"])
+    # written, as the merge repeats each column's expression many times
+    new = tables.once(upsert.prefer_complete(incoming.select("*", key), ["__key"], "arxiv_version", ["ref_id"]), "incoming")
     old = tables.load(spark, path, records.SCHEMA).select("*", key)
-    merged, conflicts = upsert.merge(old, new, "__key", "arxiv_version")
+    merged, conflicts = upsert.merge(old, new, "__key", "arxiv_version", once=log is not None)
     if log:
         conflicts.withColumn("recorded_at", F.current_timestamp()).write.mode("append").json(log)
     tables.overwrite(merged.drop("__key"), path)

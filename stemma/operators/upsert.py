@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stemma.functions import checks, ids
+from stemma.sources import tables
 
 #: Fields of which a difference is no conflict.
 QUIET = ("note", "authors_list", "raw_entry")
@@ -115,15 +116,18 @@ def normalize_identity(records: DataFrame) -> DataFrame:
     )
 
 
-def merge(existing: DataFrame, incoming: DataFrame, key: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+def merge(existing: DataFrame, incoming: DataFrame, key: str, version: str | None = None, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(merged records, conflicts (key, field, old, new)).
 
     A full outer join on the key. A field of the incoming row wins unless it holds nothing; if the incoming
     version is older, the existing row's fields win; a note that exists is kept. Both sides must be unique on the key.
+    With ``once`` the joined rows are written to scratch space, for a caller that reads both results.
     """
     fields = [c for c in existing.columns if c != key]
     e, i = existing.alias("e"), incoming.alias("i")
     joined = e.join(i, F.col(f"e.{key}") == F.col(f"i.{key}"), "full")
+    if once:
+        joined = tables.once(joined.select(F.struct("e.*").alias("e"), F.struct("i.*").alias("i")), "merge")
     older = F.lit(False)
     if version:
         older = F.coalesce(F.col(f"i.{version}") < F.col(f"e.{version}"), F.lit(False))
