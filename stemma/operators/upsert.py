@@ -13,23 +13,22 @@ from stemma.sources import tables
 QUIET = ("note", "authors_list", "raw_entry")
 
 
-def filled(df: DataFrame, name: str) -> Column:
-    """Whether a field holds something: not null, and not an empty string or list."""
-    kind = df.schema[name].dataType.simpleString()
-    c = F.col(name)
+def held(column: str, kind: str) -> str:
+    """Whether a column of a type holds something, as SQL: not null, and not an empty string or list."""
     if kind == "string":
-        return F.coalesce(F.length(c) > 0, F.lit(False))
-    if kind.startswith(("array", "map")):
-        return F.coalesce(F.size(c) > 0, F.lit(False))
-    return c.isNotNull()
+        return f"coalesce(length({column}) > 0, false)"
+    return f"coalesce(size({column}) > 0, false)" if kind.startswith(("array", "map")) else f"{column} is not null"
+
+
+def filled(df: DataFrame, name: str) -> Column:
+    """Whether a field holds something."""
+    return F.expr(held(f"`{name}`", df.schema[name].dataType.simpleString()))
 
 
 def completeness(df: DataFrame, fields: list[str] | None = None) -> Column:
     """Number of fields that hold something."""
-    out = F.lit(0)
-    for name in fields or df.columns:
-        out = out + filled(df, name).cast("int")
-    return out
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return F.expr(" + ".join(f"cast({held(f'`{n}`', kinds[n])} as int)" for n in fields or df.columns))
 
 
 def prefer_complete(df: DataFrame, keys: list[str], version: str | None = None, order: list | None = None) -> DataFrame:
@@ -123,42 +122,26 @@ def merge(existing: DataFrame, incoming: DataFrame, key: str, version: str | Non
     version is older, the existing row's fields win; a note that exists is kept. Both sides must be unique on the key.
     With ``once`` the joined rows are written to scratch space, for a caller that reads both results.
     """
+    # expressions as text: built column by column they cost some thousand calls of the JVM
     fields = [c for c in existing.columns if c != key]
-    e, i = existing.alias("e"), incoming.alias("i")
-    joined = e.join(i, F.col(f"e.{key}") == F.col(f"i.{key}"), "full")
+    kinds = {f.name: f.dataType.simpleString() for f in existing.schema}
+    joined = existing.alias("e").join(incoming.alias("i"), F.expr(f"e.`{key}` = i.`{key}`"), "full")
     if once:
         joined = tables.once(joined.select(F.struct("e.*").alias("e"), F.struct("i.*").alias("i")), "merge")
-    older = F.lit(False)
-    if version:
-        older = F.coalesce(F.col(f"i.{version}") < F.col(f"e.{version}"), F.lit(False))
-    both = F.col(f"e.{key}").isNotNull() & F.col(f"i.{key}").isNotNull()
-
-    def has(side: str, name: str) -> Column:
-        kind = existing.schema[name].dataType.simpleString()
-        c = F.col(f"{side}.{name}")
-        if kind == "string":
-            return F.coalesce(F.length(c) > 0, F.lit(False))
-        return F.coalesce(F.size(c) > 0, F.lit(False)) if kind.startswith(("array", "map")) else c.isNotNull()
-
-    def pick(name: str) -> Column:
-        old, new = F.col(f"e.{name}"), F.col(f"i.{name}")
-        keep_old = has("e", name) & (older | (F.lit(name == "note")) | ~has("i", name))
-        return F.when(F.col(f"i.{key}").isNull() | keep_old, old).when(F.col(f"e.{key}").isNull() | has("i", name), new).otherwise(F.coalesce(new, old))
-
-    merged = joined.select(F.coalesce(f"e.{key}", f"i.{key}").alias(key), *[pick(f).alias(f) for f in fields])
-    logged = [f for f in fields if f not in QUIET and not existing.schema[f].dataType.simpleString().startswith(("array", "map", "struct"))]
-    rows = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    has("e", f) & has("i", f) & ~F.col(f"e.{f}").eqNullSafe(F.col(f"i.{f}")),
-                    F.struct(F.lit(f).alias("field"), F.col(f"e.{f}").cast("string").alias("old"), F.col(f"i.{f}").cast("string").alias("new")),
-                )
-                for f in logged
-            ]
-        )
-    )
-    found = joined.where(both & ~older).select(F.col(f"e.{key}").alias(key), F.explode(rows).alias("c"))
+    older = f"coalesce(i.`{version}` < e.`{version}`, false)" if version else "false"
+    has = lambda side, name: held(f"{side}.`{name}`", kinds[name])
+
+    def pick(name: str) -> str:
+        old, new = f"e.`{name}`", f"i.`{name}`"
+        keep = f"{has('e', name)} and ({older} or {str(name == 'note').lower()} or not {has('i', name)})"
+        return f"case when i.`{key}` is null or ({keep}) then {old} when e.`{key}` is null or {has('i', name)} then {new} else coalesce({new}, {old}) end as `{name}`"
+
+    merged = joined.selectExpr(f"coalesce(e.`{key}`, i.`{key}`) as `{key}`", *map(pick, fields))
+    logged = [f for f in fields if f not in QUIET and not kinds[f].startswith(("array", "map", "struct"))]
+    row = lambda f: f"named_struct('field', '{f}', 'old', cast(e.`{f}` as string), 'new', cast(i.`{f}` as string))"
+    rows = ", ".join(f"case when {has('e', f)} and {has('i', f)} and not e.`{f}` <=> i.`{f}` then {row(f)} end" for f in logged)
+    both = joined.where(f"e.`{key}` is not null and i.`{key}` is not null and not {older}")
+    found = both.selectExpr(f"e.`{key}` as `{key}`", f"explode(array_compact(array({rows}))) as c")
     return merged, found.select(key, "c.field", "c.old", "c.new")
 
 
