@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions import checks, ids
+from stemma.functions.shipping import spread
 from stemma.sources.records import SCHEMA
 
 #: Rank of a provider when messages of one DOI are merged.
@@ -31,29 +32,48 @@ def _dates(df: DataFrame) -> DataFrame:
     return df.withColumns({"year": F.year("pub_date"), "month": F.month("pub_date"), "day": F.dayofmonth("pub_date")})
 
 
+_TEXTS = ("id", "title", "summary", "published", "doi", "journal_ref", "comment")
+ATOM = (
+    f"entry array<struct<{','.join(f'{n}:array<string>' for n in _TEXTS)},author:array<struct<name:array<string>>>,"
+    "category:array<struct<_term:string>>,link:array<struct<_rel:string,_href:string>>>>, _VALUE string"
+)
+_XML = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false", "ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE"}
+
+
 def atom_entries(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Records of Atom entries, one entry a row."""
+    """Records of Atom entries, one entry a row. Each is parsed once; broken ones, and rows of several entries, are errors."""
     plain = F.regexp_replace(F.regexp_replace(F.col(xml), r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"<(/?)\w+:", "<$1")
-    x = df.withColumn("__x", plain)
-    one = lambda path: ids.null_if_blank(F.xpath_string("__x", F.lit(path)))
-    many = lambda path: F.xpath("__x", F.lit(path))
-    versioned = F.regexp_replace(one("/entry/id"), "^.*/", "")
+    body = ids.null_if_blank(F.regexp_replace(plain, r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!DOCTYPE[^\[>]*>)?", ""))
+    # in an element around it, so that the root's name counts and what follows the root is seen
+    x = spread(df).withColumn("__x", body).withColumn("__m", F.from_xml(F.concat(F.lit("<x>"), "__x", F.lit("</x>")), ATOM, _XML))
+    several = (F.size("__m.entry") > 1) | (F.trim(F.regexp_replace("__m._VALUE", r"\s+", " ")) != "")
+    e = F.when(several, F.raise_error(F.concat(F.lit("not one entry: "), F.substring("__x", 1, 200)))).otherwise(F.get("__m.entry", F.lit(0)))
+    x = x.withColumn("__e", e)
+    listed = lambda name: F.when(F.col("__x").isNotNull(), F.coalesce(f"__e.{name}", F.array()))
+
+    def one(name: str) -> Column:
+        # elements inside a text come as markup; only then, and where a text has the sign itself, XPath says what the text is
+        raw = F.get(f"__e.{name}", F.lit(0))
+        return ids.null_if_blank(F.when(raw.contains("<"), F.xpath_string("__x", F.lit(f"/entry/{name}"))).otherwise(raw))
+
+    versioned = F.regexp_replace(one("id"), "^.*/", "")
     base = F.regexp_extract(versioned, r"^([^v]+)v(\d+)$", 1)
     base = F.when(base != "", base).otherwise(versioned)
-    cats = many("/entry/category/@term")
-    links = F.arrays_zip(F.xpath("__x", F.lit("/entry/link/@rel")).alias("rel"), F.xpath("__x", F.lit("/entry/link/@href")).alias("href"))
-    href = lambda keep: F.get(F.filter(links, keep), F.lit(0))["href"]
-    authors, doi, journal = many("/entry/author/name/text()"), one("/entry/doi"), one("/entry/journal_ref")
-    landing = href(lambda link: link["rel"] == "alternate")
+    cats = F.filter(F.transform(listed("category"), lambda c: c["_term"]), lambda t: t.isNotNull())
+    href = lambda keep: F.get(F.filter("__e.link", keep), F.lit(0))["_href"]
+    names = F.flatten(F.transform(listed("author"), lambda a: F.filter(F.coalesce(a["name"], F.array()), lambda n: F.length(n) > 0)))
+    authors = F.when(F.exists(names, lambda n: n.contains("<")), F.xpath("__x", F.lit("/entry/author/name/text()"))).otherwise(names)
+    doi, journal = one("doi"), one("journal_ref")
+    landing = href(lambda link: link["_rel"] == "alternate")
     out = x.select(
         F.concat(F.lit("arxiv:"), base).alias("ref_id"), F.lit("arxiv").alias("source"), base.alias("source_id"),
         F.when(journal.isNotNull(), "article").otherwise("unpublished").alias("entry_type"),
-        one("/entry/title").alias("title"), one("/entry/summary").alias("abstract"), F.array_join(authors, "; ").alias("authors"), authors.alias("authors_list"),
-        timestamp(one("/entry/published")).alias("pub_date"), doi.alias("doi"), landing.alias("url"), landing.alias("url_landing"),
-        href(lambda link: (link["rel"] == "related") | link["href"].contains("pdf")).alias("url_pdf"), F.get(cats, F.lit(0)).alias("subject_primary"),
+        one("title").alias("title"), one("summary").alias("abstract"), F.array_join(authors, "; ").alias("authors"), authors.alias("authors_list"),
+        timestamp(one("published")).alias("pub_date"), doi.alias("doi"), landing.alias("url"), landing.alias("url_landing"),
+        href(lambda link: (link["_rel"] == "related") | link["_href"].contains("pdf")).alias("url_pdf"), F.get(cats, F.lit(0)).alias("subject_primary"),
         F.array_join(cats, " ").alias("subject_all"), versioned.alias("arxiv_id_versioned"), base.alias("arxiv_id_base"),
         F.regexp_extract(versioned, r"v(\d+)$", 1).try_cast("int").alias("arxiv_version"), F.get(cats, F.lit(0)).alias("arxiv_primary_category"),
-        F.array_join(cats, " ").alias("arxiv_categories_raw"), one("/entry/comment").alias("arxiv_comment"), journal.alias("arxiv_journal_ref"),
+        F.array_join(cats, " ").alias("arxiv_categories_raw"), one("comment").alias("arxiv_comment"), journal.alias("arxiv_journal_ref"),
         F.concat(F.lit("doi:"), doi).alias("linked_doi_ref_id"), F.col(xml).alias("raw_entry"),
     )
     return checks.align(_dates(out), SCHEMA)

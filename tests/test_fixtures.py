@@ -320,3 +320,20 @@ def test_checks(spark):
     fresh, stored = (spark.createDataFrame(r, "k string, n int") for r in ([("a", 1), ("b", 2)], [("b", 3), ("c", 1)]))
     assert {tuple(r) for r in references.compare_status(fresh, stored, "k").collect()} == {("a", "missing"), ("b", "stale"), ("c", "orphan")}
     assert [r.health for r in references.index_health([("a", None, False), ("b", 1, False), ("c", 30_000_000, True), ("d", 1, True)], spark).collect()] == ["missing", "damaged", "oversized", "ok"]
+
+
+def test_atom_entries_are_parsed_once(spark):
+    rows = [
+        "<entry><id>http://arxiv.org/abs/2401.00001v3</id><title>a <b>c &amp; d</b> &lt; e</title><link href='http://x/pdf/1'/><link rel='alternate' href='g'/><category/><category term='t'/></entry>",
+        "<entry><title type='html'>x<!-- c --><![CDATA[ < y]]></title><author><name>A &amp; B</name></author><author/><author><name>C</name></author></entry>",
+        "<other><title>t</title></other>", None,
+    ]
+    out = providers.atom_entries(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, xml string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1 and "XPathListEvaluator(/entry/link" not in plan
+    got = [(r.ref_id, r.title, r.authors, r.url_landing, r.url_pdf, r.subject_all) for r in out.collect()]
+    assert got[0] == ("arxiv:2401.00001", "a c & d < e", "", "g", "http://x/pdf/1", "t")  # a link without rel doesn't move the others
+    assert got[1][1:3] == ("x < y", "A & B; C") and got[2] == (None, None, "", None, None, "") and got[3] == (None,) * 6
+    for bad in ("<entry><title>x</entry>", "<entry/><entry/>", "no xml"):
+        with pytest.raises(Exception, match="(?i)malformed|not one entry"):
+            providers.atom_entries(spark.createDataFrame([(bad,)], "xml string")).collect()
