@@ -24,14 +24,14 @@ class Thin:
 
 
 def thin(rows: DataFrame, manual_pairs: DataFrame | None = None) -> Thin:
-    """Thin stores of records: per collection and then over all, the highest version of an arXiv id; a DOI or ISBN of two
-    records is an error."""
+    """Thin stores of records: per collection and then over all, the highest version of an arXiv id, of equal ones the record with the
+    shortest and then first file name, so the lower number; a DOI or ISBN of two records is an error."""
     file = ids.record_slug(F.col("doi"), F.col("ref_id")).alias("json_filename")
     a = F.when(F.col("source") == "arxiv", ids.bare_arxiv(F.col("arxiv_id_base"), F.col("source_id"), F.col("ref_id")))
     version = F.coalesce("arxiv_version", ids.arxiv_version(F.col("arxiv_id_versioned")))
     doi = ids.bare_doi(F.col("doi"))
     rows = rows.select("ref_id", "collection_id", a.alias("arxiv_id"), version.alias("arxiv_version"), doi.alias("doi"), ids.isbn_ref_id(F.split("isbn", ";")[0]).alias("isbn"), file)
-    best = F.max_by(F.struct("arxiv_version", "json_filename", "doi", "collection_id"), F.struct("arxiv_version", "json_filename"))
+    best = F.min_by(F.struct("arxiv_version", "json_filename", "doi", "collection_id"), F.struct(-F.col("arxiv_version"), F.length("json_filename"), "json_filename"))
     per = rows.where("arxiv_id is not null").groupBy("arxiv_id", "collection_id").agg(best.alias("b")).select("arxiv_id", "b.arxiv_version", "b.json_filename", "b.doi", "collection_id")
     arxiv = per.groupBy("arxiv_id").agg(best.alias("b")).select("arxiv_id", "b.arxiv_version", "b.json_filename", "b.doi")
     others = rows.where("arxiv_id is null")
