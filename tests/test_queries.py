@@ -67,7 +67,7 @@ def rounds(spark, tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["hydrated", "key_forms", "records_added", "records_deduplicated", "records_round_trip", "library_references", "library_collection", "library_entities", "library_links", "library_thin_arxiv", "thin_arxiv", "task_refs"])
+@pytest.mark.parametrize("name", ["hydrated", "key_forms", "records_added", "records_deduplicated", "records_round_trip", "library_references", "library_collection", "library_entities", "library_links", "library_thin_arxiv", "thin_arxiv", "task_refs", "published_form"])
 def test_rounds_of_ids(spark, rounds, name):
     got, want = registry.QUERIES[name](spark, rounds[0]).toPandas(), rounds[1].sql(registry.ORACLE_SQL[name]).df()
     pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False)
