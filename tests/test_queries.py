@@ -73,7 +73,7 @@ def test_rounds_of_ids(spark, rounds, name):
     pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False)
 
 
-@pytest.mark.parametrize("name", ["task_refs"])
+@pytest.mark.parametrize("name", ["task_refs", "published_form"])
 def test_ties_go_to_the_lower_number(spark, tmp_path, name):
     """The SQL leaves open which of the records of one id and version stays; with order numbers after the versions it has one result, in any order of rows."""
     made = spark.range(0, 6000, 1, 4).selectExpr("id % 600 + 1200000 * (id div 600) as o_orderkey", "id % 40 as o_custkey", "'O' as o_orderstatus", "1.0D as o_totalprice", "make_timestamp(cast(1995 + (id % 7 + id div 600) % 3 as int), 5, 6, 0, 0, 0) as o_orderdate", "concat(id % 2, '-URGENT') as o_orderpriority")
