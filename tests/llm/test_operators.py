@@ -410,6 +410,22 @@ def test_url(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+@pytest.mark.parametrize(
+    "url, rule, verdict",
+    [
+        ("http://a.com/en/1", "com/en/", "block"),
+        ("http://example.com/en/70/casino", "example.com/en/7", "allow"),
+        ("http://net/de/1", "net/de/", "allow"),
+        ("http://a.example.NET/de/7?casino", "net/de/", "allow"),
+        ("http://a.example.net/de/81", "example.net/de/8", "block"),
+        ("http://a.org/es/", "org/es/", "block"),
+    ],
+)
+def test_url_rules_of_the_contract(spark, url, rule, verdict):
+    r = url_filters.apply(spark.createDataFrame([(1, url)], "page_id long, url string")).first()
+    assert (r.rule, r.verdict) == (rule, verdict)
+
+
 def test_url_empty(spark):
     assert url_filters.apply(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
